@@ -23,21 +23,24 @@ def place(sha: Column, k: int, bits: int) -> Column:
     return F.pmod(F.conv(F.substring(sha, 1 + 13 * k, 13), 16, 10).cast("long"), F.lit(bits))
 
 
+def bitmaps(places: DataFrame) -> DataFrame:
+    """(bucket, bits) from places (at), in Spark's bitmaps: as many rows of 4 KB as the filter has times 32,768 places."""
+    return places.groupBy(F.floor(F.col("at") / BITMAP).cast("long").alias("bucket")).agg(F.bitmap_construct_agg(F.col("at") % BITMAP).alias("bits"))
+
+
 def repeated_places(sha: DataFrame, bits: int) -> DataFrame:
-    """(bucket, bits): bitmaps of the places hit by more than one row; bits/32768 rows of 4 KB at most."""
+    """Bitmaps of the places hit by more than one row."""
     hits = sha.select(F.explode(F.array_distinct(F.array(place(F.col("sha"), 0, bits), place(F.col("sha"), 1, bits)))).alias("at"))
-    often = hits.groupBy("at").agg(F.count("*").alias("n")).filter("n > 1")
-    return often.groupBy(F.floor(F.col("at") / BITMAP).cast("long").alias("bucket")).agg(F.bitmap_construct_agg(F.col("at") % BITMAP).alias("bits"))
+    return bitmaps(hits.groupBy("at").agg(F.count("*").alias("n")).filter("n > 1"))
 
 
-def hit(rows: DataFrame, places: DataFrame, k: int, bits: int) -> DataFrame:
-    """rows with column hit{k}: whether their place k is among the repeated."""
-    at = place(F.col("sha"), k, bits)
+def hit(rows: DataFrame, places: DataFrame, at: Column, name: str) -> DataFrame:
+    """rows with the boolean column name: whether their place is set in the bitmaps."""
     # The filter's size is bounded by BITS, so it can be broadcast.
     joined = rows.withColumn("bucket", F.floor(at / BITMAP).cast("long")).join(F.broadcast(places), "bucket", "left")
     byte = F.conv(F.hex(F.substring(F.col("bits"), ((at % BITMAP) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     is_set = F.getbit(byte, (at % 8).cast("int")) == 1
-    return joined.withColumn(f"hit{k}", F.coalesce(is_set, F.lit(False))).drop("bucket", "bits")
+    return joined.withColumn(name, F.coalesce(is_set, F.lit(False))).drop("bucket", "bits")
 
 
 def filter_bits(rows: int, most: int = BITS) -> int:
@@ -47,7 +50,8 @@ def filter_bits(rows: int, most: int = BITS) -> int:
 
 def marked(rows: DataFrame, places: DataFrame, bits: int) -> DataFrame:
     """rows (with sha) and maybe: whether both places of the text are among the repeated."""
-    return hit(hit(rows, places, 0, bits), places, 1, bits).withColumn("maybe", F.col("hit0") & F.col("hit1")).drop("hit0", "hit1")
+    first = hit(rows, places, place(F.col("sha"), 0, bits), "hit0")
+    return hit(first, places, place(F.col("sha"), 1, bits), "hit1").withColumn("maybe", F.col("hit0") & F.col("hit1")).drop("hit0", "hit1")
 
 
 def groups_of(maybe: DataFrame) -> DataFrame:

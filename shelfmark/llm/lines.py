@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import arrow_map, written
-from shelfmark.llm.dedup import BITMAP, BITS, filter_bits
+from shelfmark.llm.dedup import BITMAP, BITS, bitmaps, filter_bits
 
 #: Lines under the rolling hash, bits of it that are 0 at a chunk's end (2: every fourth line), fewest lines of a chunk.
 WINDOW, MASK_BITS, LEAST = 2, 2, 2
@@ -110,9 +110,8 @@ def dedup_lines(docs: DataFrame, most_bits: int = BITS) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "idx")
     repeated = written(counted.groupBy("hash").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", "first"), "repeated")
     size = filter_bits(repeated.count(), most_bits)
-    at = F.pmod("hash", F.lit(size))
-    bitmaps = repeated.groupBy(F.floor(at / BITMAP).cast("long").alias("bucket")).agg(F.bitmap_construct_agg(at % BITMAP).alias("bits")).toArrow()  # most_bits bits at most
-    hits = spark.sparkContext.broadcast((size, list(zip(bitmaps.column("bucket").to_pylist(), bitmaps.column("bits").to_pylist(), strict=True))))
+    places = bitmaps(repeated.select(F.pmod("hash", F.lit(size)).alias("at"))).toArrow()  # most_bits bits at most
+    hits = spark.sparkContext.broadcast((size, list(zip(places.column("bucket").to_pylist(), places.column("bits").to_pylist(), strict=True))))
 
     found = written(_occurrences(docs, True, hits).withColumn("at", order), "occurrences")
     firsts = found.join(repeated.withColumnRenamed("first", "at"), ["hash", "at"], "left_semi").select("hash", F.col("data").alias("first_data"), F.col("at").alias("first")).dropDuplicates(["hash"])

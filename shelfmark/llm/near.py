@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.common import arrow_map, written
 from shelfmark.llm.components import components
+from shelfmark.llm.dedup import bitmaps, filter_bits, hit
 
 #: Cells of the frequency sketch (1 MB when it is sent out), and the parts it is counted in.
 CELLS, PARTS = 1 << 20, 16
@@ -165,25 +166,27 @@ def indexed(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> Da
     return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n int, d1 long, d2 long, prefix array<long>")
 
 
-def sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, d1, d2, items): whole sets."""
+def sets_of(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
+    """(class, items): whole sets of the documents whose ids are in needed (doc_id), and of a few others.
+
+    The texts are picked by a filter of the needed ids, of bounded size, so none is shuffled.
+    """
+    bits = filter_bits(needed.count())
+    places = written(bitmaps(needed.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("at"))), "needed")
+    some = hit(docs, places, F.pmod(F.xxhash64("doc_id"), F.lit(bits)), "wanted").filter("wanted").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = [shingles(t, width) for t in part.column(1).to_pylist()]
-                d = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8") for s in sets]
+                sets = [shingles(t, width) for t in batch.column(0).slice(at, 500).to_pylist()]
+                names = [int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes())[:8], "<i8")[0]) for s in sets]
                 lengths = np.cumsum([0, *map(len, sets)])
-                flat = (np.concatenate(sets) if sets else np.zeros(0, np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([int(x[0]) for x in d], pa.int64()), pa.array([int(x[1]) for x in d], pa.int64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat, pa.int64()))],
-                    names=["doc_id", "d1", "d2", "items"],
-                )
+                flat = np.concatenate(sets).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat, pa.int64()))], names=["class", "items"])
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, d1 long, d2 long, items array<long>")
+    return written(arrow_map(some, run, "class long, items array<long>"), "sets")
 
 
 def similar(percent: int):
@@ -191,12 +194,15 @@ def similar(percent: int):
     return F.expr(f"100L * both >= {percent}L * (n1 + n2 - both)")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets are that similar."""
+    pairs = written(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    sets = sets_of(docs, written(classes.join(ends, "class", "left_semi").select("doc_id"), "ends"), width)
     one = sets.select(F.col("class").alias("a"), F.col("items").alias("items1"))
     two = sets.select(F.col("class").alias("b"), F.col("items").alias("items2"))
     both = pairs.join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("items1", "items2"))).withColumn("n1", F.size("items1")).withColumn("n2", F.size("items2"))
-    return both.filter(similar(percent)).select("a", "b")
+    return both.filter(similar(percent)).select("a", "b").distinct()
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -220,38 +226,28 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shared = posted.groupBy("shingle").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("shingle").alias("shingle2"))
     lists = written(posted.join(written(shared, "shared"), F.col("shingle") == F.col("shingle2"), "left_semi"), "lists")
 
-    # Answers taken over from a leader: the class of a list with the shingle nearest the front, nearest in size.
-    found = written(docs.sparkSession.createDataFrame([], "a long, b long"), "none")
-    place = written(classes.select(F.col("class").alias("node"), F.col("class").alias("component")), "place")
-    wanted = classes.join(lists.select("class").distinct(), "class", "left_semi")
-    texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = sets_of(texts, width).select("items", "doc_id", F.col("d1").alias("class")).join(wanted, ["class", "doc_id"], "left_semi")
-    sets = written(sets.dropDuplicates(["class"]).select("class", "items"), "sets")
-    for _ in range(2):
-        at = lists.join(place.withColumnRenamed("node", "class"), "class")
-        heads = at.groupBy("shingle", "block").agg(F.min(F.struct("pos", "class", "component", "n")).alias("head"), F.min("component").alias("c_least"), F.max("component").alias("c_most")).filter("c_least < c_most")
-        heads = heads.select("shingle", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), "head")
-        heads = written(heads, "heads").join(at, ["shingle", "block"]).filter(F.col("component") != F.col("head.component"))
-        fits = heads.filter(F.expr(f"100L * least(n, head.n) >= {percent}L * greatest(n, head.n)"))
-        chosen = fits.groupBy(F.col("class").alias("a")).agg(F.min(F.struct(F.col("head.pos"), F.col("head.class").alias("b"))).alias("to")).select("a", "to.b")
-        found = written(found.unionByName(verified(chosen, sets, percent)), "found")
-        place = _placed(classes, found)
-
-    # The rest: pairs of classes in different components, by blocks and positions.
+    need = f"(({percent}L * (n1 + n2) + {100 + percent - 1}L) div {100 + percent}L)"
+    fits = f"100L * least(n1, n2) >= {percent}L * greatest(n1, n2) and least(pos1, pos2) + least(n1 - pos1, n2 - pos2) >= {need}"
+
+    # Answers taken over from a leader: the class of a block with the shingle nearest the front.
+    heads = lists.groupBy("shingle", "block").agg(F.min(F.struct(F.col("pos").alias("pos1"), F.col("class").alias("class1"), F.col("n").alias("n1"))).alias("head"))
+    heads = written(heads.select("shingle", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), "head.*"), "heads")
+    led = heads.join(lists.select("shingle", "block", *[F.col(c).alias(f"{c}2") for c in ("class", "n", "pos")]), ["shingle", "block"]).filter(F.expr(f"class1 <> class2 and {fits}"))
+    chosen = written(led.groupBy(F.col("class2").alias("a")).agg(F.min(F.struct("pos1", F.col("class1").alias("b"))).alias("to")).select("a", "to.b"), "chosen")
+    found = written(verified(chosen, docs, classes, width, percent), "found")
+    place = _placed(classes, found)
+
+    # The rest: pairs of classes in different components, by blocks and positions. Lists of one component are dropped whole.
     at = lists.join(place.withColumnRenamed("node", "class"), "class")
-    # Lists whose blocks are all in one component, at this size and the next, are dropped whole.
     span = at.groupBy("shingle").agg(F.min("component").alias("c_least"), F.max("component").alias("c_most")).filter("c_least < c_most").select("shingle")
     rest = written(at.join(written(span, "mixed"), "shingle", "left_semi"), "rest")
-    one = rest.select("shingle", F.col("block").alias("at"), *[F.col(c).alias(f"{c}1") for c in ("class", "n", "pos", "component")]).withColumn("block", F.explode(F.array(F.col("at"), F.col("at") + 1)))
-    two = rest.select("shingle", "block", *[F.col(c).alias(f"{c}2") for c in ("class", "n", "pos", "component")])
-    need = f"(({percent}L * (n1 + n2) + {100 + percent - 1}L) div {100 + percent}L)"
-    apart = F.expr(
-        "component1 <> component2 and (at < block or class1 < class2)"
-        f" and 100L * least(n1, n2) >= {percent}L * greatest(n1, n2)"
-        f" and least(pos1, pos2) + least(n1 - pos1, n2 - pos2) >= {need}"
-    )
+    one, two = (rest.select("shingle", "block", *[F.col(c).alias(f"{c}{k}") for c in ("class", "n", "pos", "component")]) for k in (1, 2))
+    one = one.withColumnRenamed("block", "at").withColumn("block", F.explode(F.array(F.col("at"), F.col("at") + 1)))
+    apart = F.expr(f"component1 <> component2 and (at < block or class1 < class2) and {fits}")
     pairs = one.join(two, ["shingle", "block"]).filter(apart).select(F.least("class1", "class2").alias("a"), F.greatest("class1", "class2").alias("b")).distinct()
-    found = written(found.unionByName(verified(pairs, sets, percent)), "found")
+    # Pairs that the leaders have refuted already need no second look.
+    refuted = chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = written(found.unionByName(verified(pairs.join(refuted, ["a", "b"], "left_anti"), docs, classes, width, percent)), "found")
     place = _placed(classes, found)
     named = place.withColumnRenamed("node", "class").join(classes, "class")
     labels = written(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "labels")
