@@ -2,8 +2,10 @@
 
 Sets that are equal become one class first. Every class indexes the prefix of its set, the rarest shingles
 first, as many as a partner must share one of. The index lists are cut into blocks by shingle and size;
-a class probes the block of its own size and the next larger ones its partners may lie in, and positions
-in the sets rule out pairs that cannot overlap enough, so whole blocks and most places are skipped.
+a class probes the block of its own size and the next larger ones its partners may lie in. Positions in
+the sets, and signatures of the prefixes, rule out pairs that cannot overlap enough: two prefixes must
+share about half their shingles, and each bit of one signature that the other lacks is a shingle that
+they do not share. So whole blocks and most places are skipped.
 
 Answers are derived from those of similar sets: each class is first compared with one leader, the member
 of its blocks with the shingle nearest the front. A class that links to its leader takes over the
@@ -11,7 +13,7 @@ leader's component. Pairs inside a component are then never compared, and a bloc
 in one component is dropped whole; what is left is compared pair by pair. So components come out exact
 without the pairs inside groups of copies.
 
-Shingles are 64-bit hashes; set digests are 128 bits. The order of shingles comes from counts of all
+Shingles and sets are known by 64-bit hashes. The order of shingles comes from counts of all
 documents in CELLS cells; it has an effect on speed alone.
 """
 
@@ -30,6 +32,8 @@ from shelfmark.llm.dedup import bitmaps, filter_bits, hit
 
 #: Cells of the frequency sketch (1 MB when it is sent out), and the parts it is counted in.
 CELLS, PARTS = 1 << 20, 16
+#: Bits of a prefix's signature, in 64-bit words.
+WORDS = 4
 #: Words that a worker remembers the hashes of.
 MEMORY = 500_000
 
@@ -135,7 +139,7 @@ def _packed_cells(slot: int, cells: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def indexed(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, d1, d2, prefix): set size, digest and prefix of every document; the prefix rarest first, in index order."""
+    """(doc_id, n, d1, prefix, sig): set size, digest, prefix and its signature of every document; the prefix rarest first, in index order."""
     shared = docs.sparkSession.sparkContext.broadcast(counts.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,25 +149,25 @@ def indexed(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> Da
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sizes, d1, d2, prefixes = [], [], [], []
+                sizes, d1, prefixes, signs = [], [], [], []
                 for text in part.column(1).to_pylist():
                     s = shingles(text, width)
-                    digest = xxhash.xxh3_128_digest(s.tobytes())
-                    d = np.frombuffer(digest, "<i8")
                     sizes.append(len(s))
-                    d1.append(int(d[0]))
-                    d2.append(int(d[1]))
+                    d1.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
                     keep = len(s) - least_overlap(len(s), percent) + 1 if len(s) else 0
                     order = np.lexsort((s, rare[(s >> np.uint64(44)).astype(np.int64)]))[:keep]
                     prefixes.append(s[order].view(np.int64))
+                    bits = np.zeros(64 * WORDS, np.uint8)
+                    bits[(s[order] & np.uint64(64 * WORDS - 1)).astype(np.int64)] = 1
+                    signs.append(np.packbits(bits).view(np.int64).tolist())
                 lengths = np.cumsum([0, *map(len, prefixes)])
                 flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat, pa.int64()))],
-                    names=["doc_id", "n", "d1", "d2", "prefix"],
+                    [part.column(0), pa.array(sizes, pa.int32()), pa.array(d1, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat, pa.int64())), pa.array(signs, pa.list_(pa.int64()))],
+                    names=["doc_id", "n", "d1", "prefix", "sig"],
                 )
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n int, d1 long, d2 long, prefix array<long>")
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n int, d1 long, prefix array<long>, sig array<long>")
 
 
 def sets_of(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
@@ -181,7 +185,7 @@ def sets_of(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 sets = [shingles(t, width) for t in batch.column(0).slice(at, 500).to_pylist()]
-                names = [int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes())[:8], "<i8")[0]) for s in sets]
+                names = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
                 lengths = np.cumsum([0, *map(len, sets)])
                 flat = np.concatenate(sets).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat, pa.int64()))], names=["class", "items"])
@@ -221,30 +225,40 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = written(listed.groupBy(F.col("d1").alias("class")).agg(F.min("doc_id").alias("doc_id")), "classes")
     # A block for each shingle and size class: sizes of partners lie in the same or the next one.
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    own = listed.withColumnRenamed("d1", "class").join(classes, ["class", "doc_id"], "left_semi").dropDuplicates(["class", "doc_id"])
+    own = listed.withColumnRenamed("d1", "class").join(classes, ["class", "doc_id"], "left_semi")
     posted = own.select("class", "n", block.alias("block"), F.posexplode("prefix").alias("pos", "shingle"))
-    shared = posted.groupBy("shingle").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("shingle").alias("shingle2"))
-    lists = written(posted.join(written(shared, "shared"), F.col("shingle") == F.col("shingle2"), "left_semi"), "lists")
-
+    shared = written(posted.groupBy("shingle").agg(F.count("*").alias("k")).filter("k > 1").select("shingle"), "shared")
+    words = [f"s{k}" for k in range(WORDS)]
+    signs = written(own.select("class", *[F.col("sig")[k].alias(w) for k, w in enumerate(words)]).dropDuplicates(["class"]), "signs")
+    lists = posted.join(shared, "shingle", "left_semi").dropDuplicates(["shingle", "class"])
+    lists = written(lists.join(signs, "class"), "lists")
+    carried = ["class", "n", "pos", *words]
+
+    # What a pair must share, by its sizes n; what it shares at most, by positions, and by signatures of the prefixes.
     need = f"(({percent}L * (n1 + n2) + {100 + percent - 1}L) div {100 + percent}L)"
-    fits = f"100L * least(n1, n2) >= {percent}L * greatest(n1, n2) and least(pos1, pos2) + least(n1 - pos1, n2 - pos2) >= {need}"
+    beyond = f"(greatest({percent}L * n1 + 99, {percent}L * n2 + 99) div 100 - 1)"
+    lacks = {k: " + ".join(f"bit_count({w}{k} & ~{w}{3 - k})" for w in words) for k in (1, 2)}
+    common = "least(" + ", ".join(f"n{k} - ({percent}L * n{k} + 99) div 100 + 1 - ({lacks[k]})" for k in (1, 2)) + ")"
+    fits = f"100L * least(n1, n2) >= {percent}L * greatest(n1, n2) and least(pos1, pos2) + least(n1 - pos1, n2 - pos2) >= {need} and {common} + {beyond} >= {need}"
 
     # Answers taken over from a leader: the class of a block with the shingle nearest the front.
-    heads = lists.groupBy("shingle", "block").agg(F.min(F.struct(F.col("pos").alias("pos1"), F.col("class").alias("class1"), F.col("n").alias("n1"))).alias("head"))
-    heads = written(heads.select("shingle", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), "head.*"), "heads")
-    led = heads.join(lists.select("shingle", "block", *[F.col(c).alias(f"{c}2") for c in ("class", "n", "pos")]), ["shingle", "block"]).filter(F.expr(f"class1 <> class2 and {fits}"))
+    heads = lists.groupBy("shingle", "block").agg(F.min(F.struct("pos", "class", "n", *words)).alias("head"))
+    heads = heads.select("shingle", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), *[F.col(f"head.{c}").alias(f"{c}1") for c in carried])
+    led = written(heads, "heads").join(lists.select("shingle", "block", *[F.col(c).alias(f"{c}2") for c in carried]), ["shingle", "block"]).filter(F.expr(f"class1 <> class2 and {fits}"))
     chosen = written(led.groupBy(F.col("class2").alias("a")).agg(F.min(F.struct("pos1", F.col("class1").alias("b"))).alias("to")).select("a", "to.b"), "chosen")
     found = written(verified(chosen, docs, classes, width, percent), "found")
     place = _placed(classes, found)
 
-    # The rest: pairs of classes in different components, by blocks and positions. Lists of one component are dropped whole.
+    # The rest: pairs of classes in different components. Lists of one component are dropped whole.
     at = lists.join(place.withColumnRenamed("node", "class"), "class")
     span = at.groupBy("shingle").agg(F.min("component").alias("c_least"), F.max("component").alias("c_most")).filter("c_least < c_most").select("shingle")
     rest = written(at.join(written(span, "mixed"), "shingle", "left_semi"), "rest")
-    one, two = (rest.select("shingle", "block", *[F.col(c).alias(f"{c}{k}") for c in ("class", "n", "pos", "component")]) for k in (1, 2))
+    one, two = (rest.select("shingle", "block", *[F.col(c).alias(f"{c}{k}") for c in (*carried, "component")]) for k in (1, 2))
     one = one.withColumnRenamed("block", "at").withColumn("block", F.explode(F.array(F.col("at"), F.col("at") + 1)))
     apart = F.expr(f"component1 <> component2 and (at < block or class1 < class2) and {fits}")
-    pairs = one.join(two, ["shingle", "block"]).filter(apart).select(F.least("class1", "class2").alias("a"), F.greatest("class1", "class2").alias("b")).distinct()
+    rows = one.join(two, ["shingle", "block"]).filter(apart).select(F.least("class1", "class2").alias("a"), F.greatest("class1", "class2").alias("b"), "n1", "n2")
+    # A pair has a row here for each shingle that both prefixes hold.
+    pairs = rows.groupBy("a", "b").agg(F.count("*").alias("k"), F.min(F.expr(f"{need} - {beyond}")).alias("least_k")).filter("k >= least_k").select("a", "b")
     # Pairs that the leaders have refuted already need no second look.
     refuted = chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found = written(found.unionByName(verified(pairs.join(refuted, ["a", "b"], "left_anti"), docs, classes, width, percent)), "found")
