@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of the data model: noise signs of a variant key, resolution names by height, status words.
 NOISE = r"(?U)[\s·・•‧∙\-_—–~～|/\\,，.。:：;；!！?？'\"“”‘’()（）\[\]【】「」『』<>《》&+*#@]"
@@ -15,13 +16,13 @@ RESOLUTION_WORDS = (("8K", r"(?i)\b(?:8k|4320p)\b"), ("4K", r"(?i)\b(?:4k|uhd|21
 INVISIBLE = "[​-‏⁠﻿­]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode NFKC; Spark has no function of its own for it. Use it on distinct values."""
     return text.str.normalize("NFKC")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(text: pd.Series) -> pd.Series:
     return text.str.casefold()
 

@@ -47,7 +47,7 @@ def profile(all_tokens: DataFrame, votes: DataFrame, total: int, overrides: Data
 
 def base_scores(all_tokens: DataFrame, preference: DataFrame) -> DataFrame:
     """(item_id, score): sum of pos - neg over an item's tokens."""
-    return all_tokens.join(preference, ["kind", "value"]).groupBy("item_id").agg(F.round(F.sum(F.col("pos") - F.col("neg")), 4).alias("score"))
+    return all_tokens.join(preference, ["kind", "value"]).groupBy("item_id").agg(F.round(F.sum((F.col("pos") - F.col("neg")).cast("decimal(20,6)")), 4).cast("double").alias("score"))
 
 
 def recency_boost(premiered: Column, dateadded: Column, today: str, jitter: float) -> Column:

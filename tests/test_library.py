@@ -1,0 +1,191 @@
+import datetime
+import math
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from shelfmark.functions import scalar as s
+from shelfmark.operators import dedupe, freq, graph, maintain, recommend, search, text
+from shelfmark.plans import queries as q
+from shelfmark.plans.report import report
+from shelfmark.sources import sidecar, sinks
+from shelfmark.streaming import votes as stream
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def plain(x):
+    if isinstance(x, float):
+        return round(x, 6)
+    return x.replace(tzinfo=None) if isinstance(x, datetime.datetime) else x
+
+
+@pytest.fixture(scope="module")
+def duck(sf):
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(q.ORACLE))
+def test_query_matches_sql(spark, sf, duck, name):
+    df = q.QUERIES[name](spark, sf)
+    cur = duck.execute(q.ORACLE[name])
+    columns = [d[0] for d in cur.description]
+    assert sorted(columns) == sorted(df.columns)
+    want = sorted((repr([plain(x) for x in r]) for r in cur.fetchall()))
+    got = sorted(repr([plain(r[c]) for c in columns]) for r in df.collect())
+    assert got == want
+
+
+def one(spark, column, **values):
+    kinds = {str: "string", int: "int", float: "double", list: "array<string>"}
+    df = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {kinds[type(v)]}" for k, v in values.items()))
+    return df.select(column.alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize(
+    ("text_in", "want"),
+    [("2020-1-5", "2020-01-05"), ("2020/13/05", ""), ("x 2020.02.31 y", "2020-02-31"), ("", ""), ("1899-01-01", "")],
+)
+def test_norm_date(spark, text_in, want):
+    assert one(spark, s.norm_date(F.col("t")), t=text_in) == want
+
+
+def test_scalars(spark):
+    t = F.col("t")
+    assert one(spark, s.norm_datetime(t), t="2020-01-02T3:04:05") == "2020-01-02 03:04"
+    assert one(spark, s.variant_key(t), t="ＡＢ-c　Straße") == "abcstrasse"
+    assert one(spark, s.clean_text(t), t=" a​　 b ") == "a b"
+    assert one(spark, s.first_int(t), t="1,234 min") == 1234
+    assert one(spark, s.first_float(t), t="about -2.5") == -2.5
+    assert one(spark, s.code_of(t), t="see AB_123 there") == "AB-123"
+    assert one(spark, s.norm_code(t), t="AB-123") == "ab123"
+    assert one(spark, s.resolution(F.col("h"), t), h=0, t="x UHD y") == "4K"
+    assert one(spark, s.resolution(F.col("h")), h=1080) == "1080P"
+    assert one(spark, s.norm_title(t), t="AB-123 Some Title!") == "sometitle"
+    assert one(spark, s.strip_people(t, F.col("p")), t="A story [Jo Doe]", p=["Jo Doe", ""]) == "A story"
+    assert one(spark, s.human_size(F.col("n")), n=1 << 20) == "1.0 MB"
+    assert one(spark, s.status_flag(t), t="x uncensored") == "uncensored"
+    assert one(spark, s.classify_tag(t, F.lit("AB"), F.array(F.lit("Jo Doe"))), t="jo-doe")["kind"] == "meta"
+    assert one(spark, s.classify_tag(t, F.lit("AB"), F.array(F.lit("Jo"))), t="series: The X") == ("series", "The X")
+
+
+def test_frequency_merges_spellings(spark):
+    df = spark.createDataFrame([("Ab c",), ("ab-c",), ("Ab c",), ("",), (None,), ("z",)], "tag string")
+    assert [tuple(r) for r in freq.frequency(df, "tag", 5).collect()] == [("abc", "Ab c", 3, "ab-c"), ("z", "z", 1, "")]
+
+
+def test_canonical_names_skip_comments(spark):
+    names = spark.createDataFrame([("A B", "AB"), ("_note", "never")], "variant string, canonical string")
+    df = spark.createDataFrame([("a-b",), ("_note",)], "tag string")
+    assert sorted(r["tag"] for r in freq.canonicaliser(names)(df, "tag").collect()) == ["AB", "_note"]
+
+
+def test_duplicates(spark):
+    rows = [("a/1", "AB-1", "x", 2000, "a", 10), ("b/1", "ab1", "y", 2000, "b", 10), ("a/2", "CD-2", "x", 0, "a", 5), ("a/3", "cd2", "x", 0, "a", 6), ("c/4", "", "", 0, "c", 1)]
+    found = {r["key"]: r for r in dedupe.groups(dedupe.identified(spark.createDataFrame(rows, "path string, code string, title string, year int, folder string, size long"))).collect()}
+    assert found["ab1"]["confidence"] == "very high" and found["ab1"]["redundant"] == 10 and not found["ab1"]["multipart"]
+    assert found["cd2"]["multipart"] and len(found) == 2
+
+
+def test_tokenizer():
+    assert text.tokenize("hello a World2") == ["hello", "World2"]
+    assert text.tokenize("天地玄黄宇宙", frozenset(["天地"])) == ["天地", "玄黄宇宙"]
+    assert text.tokenize(None) == []
+
+
+def test_picks_are_unique_and_unvoted(spark, sf):
+    picked = [r["item_id"] for r in q.smart_picks(spark, sf).collect()]
+    voted = {r["item_id"] for r in q.m.votes(spark, sf).collect()}
+    assert len(picked) == len(set(picked)) == 18 and not voted & set(picked)
+    assert picked == [r["item_id"] for r in q.smart_picks(spark, sf).collect()]
+
+
+def test_overrides(spark):
+    table = spark.createDataFrame([], "kind string, value string, weight double")
+    table = maintain.set_override(table, "tag", "x", -2.0)
+    tokens = spark.createDataFrame([(1, "tag", "y")], "item_id long, kind string, value string")
+    votes = spark.createDataFrame([(1, 1)], "item_id long, vote int")
+    got = {r["value"]: (r["pos"], r["neg"]) for r in recommend.profile(tokens, votes, 10, table).collect()}
+    assert got["x"] == (0.0, 2.0) and got["y"][0] > 0
+    with pytest.raises(ValueError):
+        maintain.set_override(table, "bad", "x", 1.0)
+    assert recommend.toggled(1, 1) is None and recommend.toggled(None, -1) == -1
+
+
+def test_mmr_prefers_variety():
+    held = {1: {"a"}, 2: {"a"}, 3: {"b"}}
+    assert recommend.mmr([1, 2, 3], {1: 1.0, 2: 0.9, 3: 0.5}, held, 2, 0.8) == [1, 3]
+
+
+def test_themes_and_matrix(spark):
+    pairs = [{"a": "x", "b": "y", "fa": 9, "fb": 8, "co": 5, "strength": 0.4}, {"a": "x", "b": "z", "fa": 9, "fb": 4, "co": 3, "strength": 0.3}]
+    assert graph.themes(pairs)[0]["members"] == ["x", "y", "z"]
+    edges = spark.createDataFrame([("a", "b", 2)], "src string, dst string, weight long")
+    assert graph.matrix(edges).count() == 2
+
+
+def test_prune_guards(spark):
+    old = spark.createDataFrame([(str(i),) for i in range(4)], "path string")
+    assert maintain.prune_plan(old, old.limit(0)).count() == 0
+    assert maintain.prune_plan(old, old.filter("path = '0'")).count() == 0
+    assert [r["path"] for r in maintain.prune_plan(old, old.filter("path <> '0'")).collect()] == ["0"]
+
+
+def test_search_escapes(spark):
+    items = spark.createDataFrame([(1, "50% off", "c", "s", "t"), (2, "500 off", "c", "s", "t")], "item_id long, title string, code string, studio string, source string")
+    none = spark.createDataFrame([], "item_id long, tag string, person string")
+    assert [r["item_id"] for r in search.keyword_ids(items, none, none, "50%").collect()] == [1]
+    assert search.free_text(items, none, none, ["OFF"]).count() == 2
+    with pytest.raises(ValueError):
+        search.facets(items, sort="1; drop")
+    assert search.expand(["ab"], {"ab": "X", "cd": "X", "ef": "Y"}) == ["ab", "X", "cd"]
+
+
+XML = """<?xml version="1.0" encoding="UTF-8"?><movie><title>AB-123  A &amp; B</title><num>AB-123</num><plot>P</plot><premiered>2020-1-2</premiered><runtime>95 min</runtime><userrating>7.5</userrating>
+<genre>x</genre><tag>x</tag><tag>4K</tag><actor><name>Zed</name><order>1</order></actor><actor><name>Ann</name><order>0</order></actor><ratings><rating><value>6.1</value></rating><rating><value>8.2</value></rating></ratings><watched>true</watched></movie>"""
+
+
+def test_sidecars(spark, tmp_path):
+    (tmp_path / "a.nfo").write_text(XML)
+    (tmp_path / "b.nfo").write_text("junk <movie><title>CD-45 x</title></movie> <more")
+    (tmp_path / "c.nfo").write_bytes("<movie><title>中文 & no end".encode("gb18030") + b"<tag>t</tag><title>EF-67</title>")
+    (tmp_path / "d.nfo").write_bytes(b" ")
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".git" / "e.nfo").write_text(XML)
+    got = {r["path"][-5]: r for r in sidecar.parsed(sidecar.listing(spark, [str(tmp_path)])).collect()}
+    a = got["a"]
+    assert set(got) == set("abcd") and a["parse_status"] == "ok"
+    assert (a["title"], a["code"], a["year"], a["premiered"], a["runtime_min"], a["userrating"], a["rating_max"], a["watched"]) == ("AB-123 A & B", "AB-123", 2020, "2020-01-02", 95, 7.5, 8.2, 1)
+    assert a["people"] == ["Ann", "Zed"] and a["tags"] == ["x", "4K"] and a["resolution"] == "4K"
+    assert got["b"]["code"] == "CD-45" and got["d"]["parse_status"] == "parse_error"
+    assert got["c"]["parse_status"] == "recovered" and got["c"]["encoding"] == "gb18030" and got["c"]["tags"] == ["t"]
+
+
+def test_report_and_sinks(spark, sf, tmp_path):
+    data = report(q.m.items(spark, sf), q.m.item_tags(spark, sf), q.m.item_people(spark, sf), 5)
+    assert len(data["tags"]) == 5 and len(data["portrait"]) == 8
+    sinks.report_json(data, str(tmp_path / "r.json"))
+    sinks.report_markdown(data, str(tmp_path / "r.md"))
+    sinks.report_html(data, str(tmp_path / "r.html"))
+    sinks.report_csv(data["tags"], str(tmp_path / "r.csv"))
+    assert (tmp_path / "r.csv").read_bytes().startswith(b"\xef\xbb\xbf")
+    assert "</script>" not in sinks.for_script({"x": "</script>"})
+
+
+def test_streams(spark, sf, tmp_path):
+    source = q.m.table(spark, sf, "events")
+    source.write.parquet(str(tmp_path / "in"))
+    events = spark.readStream.schema(source.schema).parquet(str(tmp_path / "in"))
+    out = stream.latest_votes(events).writeStream.outputMode("complete").format("memory").queryName("votes_now").trigger(availableNow=True).start()
+    out.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("votes_now").collect())) == sorted(map(tuple, q.m.votes(spark, sf).collect()))
+
+
+def test_entropy_of_grams(spark):
+    df = spark.createDataFrame([("xaby",), ("zabw",)], "text string")
+    e = text.edge_entropy(df, spark.createDataFrame([("ab",)], "gram string")).first()
+    assert math.isclose(e["entropy"], 1.0) and e["top"] == 1
