@@ -74,7 +74,7 @@ class Searcher:
                 self.keep(qs, ids[cs], self.products(qs, cs, vectors, wide))
 
     def survivors(self, some: slice, stats: list[np.ndarray], norm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, row of the block) that no level's bound rules out, the floor raised first by each query's likeliest rows."""
+        """Pairs (query, row of the block) that no level's bound rules out, given the least score of each query's best so far."""
         floor = self.floor[some][:, None]
         slack = 1e-6 * (1 + self.norm[some][:, None] * norm[None, :].max(initial=0))
         if not self.levels:
@@ -96,7 +96,9 @@ class Searcher:
         q, ids, scores = q[good], ids[good], scores[good]
         order = np.lexsort((ids, -scores, q))
         q, ids, scores = q[order], ids[order], scores[order]
-        starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else []
+        if not len(q):
+            return
+        starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
         for a, b in zip(starts, [*starts[1:], len(q)], strict=True):
             heap = self.best[q[a]]
             for s, i in zip(scores[a : min(b, a + self.k)].tolist(), ids[a : min(b, a + self.k)].tolist(), strict=True):
