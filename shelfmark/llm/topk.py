@@ -26,6 +26,8 @@ from shelfmark.llm.common import arrow_map, written
 #: Queries that are held at once (their size is bounded by it), rows of a block of candidates, segments coarse to fine.
 QUERY_BLOCK, ROW_BLOCK, LEVELS = 16_384, 4_096, (4, 16)
 SCALE, K = 64, 20
+#: Share of a block's pairs from which one product of blocks is cheaper than pair by pair; rows that give the first floors.
+MANY, FIRST = 0.03, 256
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
@@ -56,22 +58,26 @@ class Searcher:
         self.best: list[list[tuple[int, int]]] = [[] for _ in ids]  # heaps of (score, -vec_id)
         self.floor = np.full(len(ids), -np.inf)
 
-    def products(self, q: np.ndarray, c: np.ndarray, vectors: np.ndarray, wide: np.ndarray) -> np.ndarray:
-        """Exact products of paired rows: in doubles where they hold every sum, else in integers."""
-        if float(np.abs(self.wide).max(initial=0)) * float(np.abs(wide).max(initial=0)) * max(1, wide.shape[1]) < 2**53:
-            return np.einsum("ij,ij->i", self.wide[q], wide[c]).astype(np.int64)
-        return np.einsum("ij,ij->i", self.exact[q], vectors[c])
+    def products(self, q: np.ndarray, c: np.ndarray, some: slice, vectors: np.ndarray, wide: np.ndarray) -> np.ndarray:
+        """Exact products of paired rows: in doubles where they hold every sum, else in integers; as one product of blocks if many are left."""
+        if float(np.abs(self.wide).max(initial=0)) * float(np.abs(wide).max(initial=0)) * max(1, wide.shape[1]) >= 2**53:
+            return np.einsum("ij,ij->i", self.exact[q], vectors[c])
+        block = self.wide[some]
+        if len(q) > MANY * len(block) * len(wide):
+            return (block @ wide.T)[q - some.start, c].astype(np.int64)
+        return np.einsum("ij,ij->i", self.wide[q], wide[c]).astype(np.int64)
 
     def add(self, ids: np.ndarray, vectors: np.ndarray, chunk: int = 256) -> None:
+        if np.isinf(self.floor).any() and len(ids) > FIRST:  # a few rows first give every query a floor
+            self.add(ids[:FIRST], vectors[:FIRST])
+            ids, vectors = ids[FIRST:], vectors[FIRST:]
         wide = vectors.astype(np.float64)
         stats = [bounds_of(wide, s) for s, _ in self.levels]
         norm = np.sqrt(np.einsum("ij,ij->i", wide, wide))
         for at in range(0, len(self.ids), chunk):
             some = slice(at, at + chunk)
             q, c = self.survivors(some, stats, norm)
-            for lo in range(0, len(q), 200_000):
-                qs, cs = q[lo : lo + 200_000], c[lo : lo + 200_000]
-                self.keep(qs, ids[cs], self.products(qs, cs, vectors, wide))
+            self.keep(q, ids[c], self.products(q, c, some, vectors, wide))
 
     def survivors(self, some: slice, stats: list[np.ndarray], norm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, row of the block) that no level's bound rules out, given the least score of each query's best so far."""
@@ -83,7 +89,7 @@ class Searcher:
         (_, own), rows = self.levels[0], stats[0]
         q, c = np.nonzero(own[some] @ rows.T >= floor - slack)
         for (_, own), rows in zip(self.levels[1:], stats[1:], strict=True):
-            if len(q) > 0.2 * floor.shape[0] * len(norm):  # many are left: the next bound as one product of blocks
+            if len(q) > MANY * floor.shape[0] * len(norm):  # many are left: the next bound as one product of blocks
                 full = own[some] @ rows.T
                 left = full[q, c] >= (floor - slack)[q, 0]
             else:
