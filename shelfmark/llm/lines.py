@@ -116,7 +116,8 @@ def dedup_lines(docs: DataFrame, most_bits: int = BITS) -> DataFrame:
     found = written(_occurrences(docs, True, hits).withColumn("at", order), "occurrences")
     firsts = found.join(repeated.withColumnRenamed("first", "at"), ["hash", "at"], "left_semi").select("hash", F.col("data").alias("first_data"), F.col("at").alias("first")).dropDuplicates(["hash"])
     firsts = written(firsts, "firsts")
-    gone = found.join(firsts, "hash").filter("at <> first and data = first_data")
+    # Both tables grow with the corpus, so neither is broadcast at any size.
+    gone = found.join(firsts.hint("merge"), "hash").filter("at <> first and data = first_data")
     gone = written(gone.groupBy("doc_id", "key").agg(F.collect_set("idx").alias("idx")), "removed")
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,6 +146,6 @@ def dedup_lines(docs: DataFrame, most_bits: int = BITS) -> DataFrame:
     flagged = arrow_map(docs, flag, "doc_id long, text string, key long, n_lines long, maybe boolean")
     kind = "doc_id long, text string, n_lines long, n_removed long"
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"), "idx")
-    touched = flagged.filter("maybe").join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left")
+    touched = flagged.filter("maybe").join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left")
     stripped = arrow_map(touched.select("doc_id", "text", "n_lines", "idx"), strip, kind)
     return flagged.filter("not maybe").select("doc_id", "text", "n_lines", F.lit(0).cast("long").alias("n_removed")).unionByName(stripped)
