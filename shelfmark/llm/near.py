@@ -281,5 +281,12 @@ def _placed(classes: DataFrame, links: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs, all columns, with the row of the smallest doc_id of each component alone; rows of null ids stay."""
     groups = written(near_components(docs, width, percent), "components")
-    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = written(groups.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    # Texts that a filter of the ids that go, of bounded size, does not hit pass without a shuffle.
+    bits = filter_bits(gone.count())
+    at = F.pmod(F.xxhash64(F.col("id")), F.lit(bits))
+    places = written(bitmaps(gone.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("at"))), "places")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row"), F.col("doc_id").cast("long").alias("id"))
+    seen = hit(rows, places, at, "maybe_gone")
+    stays = seen.filter("maybe_gone").join(gone.hint("merge"), F.col("id") == F.col("doc_id"), "left_anti")
+    return seen.filter("not maybe_gone").select("whole_row.*").unionByName(stays.select("whole_row.*"))
