@@ -1,7 +1,8 @@
 """Join of documents by the Jaccard similarity of their word shingles, with set relations skipping work.
 
 Sets that are equal become one class first. Every class indexes the prefix of its set, the rarest shingles
-first, as many as a partner must share one of. The index lists are cut into blocks by shingle and size;
+first, so long that linked sets share many of them (spare); a class with too few that occur elsewhere has
+no partner and leaves the index. The index lists are cut into blocks by shingle and size;
 a class probes the block of its own size and the next larger ones its partners may lie in. Positions in
 the sets, and signatures of the prefixes, rule out pairs that cannot overlap enough: two prefixes must
 share about half their shingles, and each bit of one signature that the other lacks is a shingle that
@@ -83,6 +84,15 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def spare(n: int, percent: int) -> int:
+    """How many shingles the prefixes of a set of n and of any linked set that is no smaller share at least.
+
+    The prefix leaves out least_overlap(n) - spare(n) shingles, and linked sets share least_overlap of the
+    larger one, so at least the smaller set's spare lie in both prefixes.
+    """
+    return min(least_overlap(n, percent), 1 + n * (100 - percent) // 200)
+
+
 def frequency(docs: DataFrame, width: int) -> np.ndarray:
     """Counts of the shingles of all documents by cell, on a logarithmic scale of one byte."""
 
@@ -154,7 +164,7 @@ def indexed(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> Da
                     s = shingles(text, width)
                     sizes.append(len(s))
                     d1.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
-                    keep = len(s) - least_overlap(len(s), percent) + 1 if len(s) else 0
+                    keep = len(s) - least_overlap(len(s), percent) + spare(len(s), percent)
                     order = np.lexsort((s, rare[(s >> np.uint64(44)).astype(np.int64)]))[:keep]
                     prefixes.append(s[order].view(np.int64))
                     bits = np.zeros(64 * WORDS, np.uint8)
@@ -227,18 +237,24 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
     own = listed.withColumnRenamed("d1", "class").join(classes, ["class", "doc_id"], "left_semi")
     posted = own.select("class", "n", block.alias("block"), F.posexplode("prefix").alias("pos", "shingle"))
+    least = f"(({percent}L * {{0}} + 99) div 100)"
+    extra = f"least({least}, 1 + {{0}} * {100 - percent} div 200)"
+    worth = extra.format(least.format("n"))
     shared = written(posted.groupBy("shingle").agg(F.count("*").alias("k")).filter("k > 1").select("shingle"), "shared")
     words = [f"s{k}" for k in range(WORDS)]
     signs = written(own.select("class", *[F.col("sig")[k].alias(w) for k, w in enumerate(words)]).dropDuplicates(["class"]), "signs")
     lists = posted.join(shared, "shingle", "left_semi").dropDuplicates(["shingle", "class"])
-    lists = written(lists.join(signs, "class"), "lists")
+    # A class stays if as many of its shingles occur elsewhere as it must share with the smallest partner; it has one row here for each.
+    held = lists.groupBy("class", "n", "block").agg(F.collect_list(F.struct("pos", "shingle")).alias("held")).filter(F.expr(f"size(held) >= {worth}"))
+    lists = written(held.join(signs, "class").select("class", "n", "block", *words, F.inline("held")), "lists")
     carried = ["class", "n", "pos", *words]
 
     # What a pair must share, by its sizes n; what it shares at most, by positions, and by signatures of the prefixes.
     need = f"(({percent}L * (n1 + n2) + {100 + percent - 1}L) div {100 + percent}L)"
-    beyond = f"(greatest({percent}L * n1 + 99, {percent}L * n2 + 99) div 100 - 1)"
+    left_out = f"({least} - {extra})"
+    beyond = f"greatest({left_out.format('n1')}, {left_out.format('n2')})"
     lacks = {k: " + ".join(f"bit_count({w}{k} & ~{w}{3 - k})" for w in words) for k in (1, 2)}
-    common = "least(" + ", ".join(f"n{k} - ({percent}L * n{k} + 99) div 100 + 1 - ({lacks[k]})" for k in (1, 2)) + ")"
+    common = "least(" + ", ".join(f"n{k} - {left_out.format(f'n{k}')} - ({lacks[k]})" for k in (1, 2)) + ")"
     fits = f"100L * least(n1, n2) >= {percent}L * greatest(n1, n2) and least(pos1, pos2) + least(n1 - pos1, n2 - pos2) >= {need} and {common} + {beyond} >= {need}"
 
     # Answers taken over from a leader: the class of a block with the shingle nearest the front.
