@@ -35,8 +35,8 @@ from shelfmark.llm.dedup import bitmaps, filter_bits, hit
 CELLS, PARTS = 1 << 20, 16
 #: Bits of a prefix's signature, in 64-bit words.
 WORDS = 4
-#: Words that a worker remembers the hashes of.
-MEMORY = 500_000
+#: Words that a worker remembers the hashes of, and texts and shingles that it holds before it counts them.
+MEMORY, TEXTS, HELD = 100_000, 500, 1 << 19
 
 
 class Hashes(dict):
@@ -101,14 +101,16 @@ def frequency(docs: DataFrame, width: int) -> np.ndarray:
 
         cells = np.zeros(CELLS, np.int64)
         for batch in batches:
-            held = []
-            for text in batch.column(0).to_pylist():
-                held.append((shingles(text, width) >> np.uint64(44)).astype(np.int64))
-                if len(held) == 1000:
-                    cells += np.bincount(np.concatenate(held), minlength=CELLS)
-                    held = []
-            if held:
-                cells += np.bincount(np.concatenate(held), minlength=CELLS)
+            for at in range(0, batch.num_rows, TEXTS):
+                held, n = [], 0
+                for text in batch.column(0).slice(at, TEXTS).to_pylist():
+                    held.append((shingles(text, width) >> np.uint64(44)).astype(np.int64))
+                    n += len(held[-1])
+                    if n >= HELD:
+                        np.add.at(cells, np.concatenate(held), 1)
+                        held, n = [], 0
+                if held:
+                    np.add.at(cells, np.concatenate(held), 1)
         yield from _packed_cells(TaskContext.get().partitionId() % 64, cells)
 
     def add(table: pa.Table) -> pa.Table:
