@@ -21,7 +21,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return byte_bpe.digests(byte_bpe.decode_documents(byte_bpe.encode_documents(docs)))
+    return byte_bpe.digests(byte_bpe.round_trip(docs))
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
