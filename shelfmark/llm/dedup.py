@@ -54,11 +54,11 @@ def marked(rows: DataFrame, places: DataFrame, bits: int) -> DataFrame:
     return hit(first, places, place(F.col("sha"), 1, bits), "hit1").withColumn("maybe", F.col("hit0") & F.col("hit1")).drop("hit0", "hit1")
 
 
-def groups_of(maybe: DataFrame) -> DataFrame:
-    """(sha, keep, group_size) of texts that do repeat: keep is (-code points, doc_id, row) of the row that stays."""
+def groups_of(maybe: DataFrame, least: int = 2) -> DataFrame:
+    """(sha, keep, group_size) of texts with that many rows or more: keep is (-code points, doc_id is null, doc_id, row) of the row that stays."""
     found = maybe.groupBy("sha").agg(F.min(F.struct(-F.col("n_code"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("keep"), F.count("*").alias("group_size"))
     # Written, so that the join shuffles both sides anew and Spark can split a hot text.
-    return written(found.filter("group_size > 1"), "groups")
+    return written(found.filter(F.col("group_size") >= least), "groups")
 
 
 def exact_groups(docs: DataFrame, most_bits: int = BITS) -> DataFrame:
@@ -99,7 +99,9 @@ def drop_exact_copies(docs: DataFrame, most_bits: int = BITS) -> DataFrame:
     bits = filter_bits(slim.count(), most_bits)
     places = written(repeated_places(slim, bits), "repeated")
     seen = marked(rows, places, bits)
-    groups = groups_of(marked(slim, places, bits).filter("maybe").drop("maybe"))
-    stays = F.col("keep").isNull() | (F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("n_code") == -F.col("keep.col1")))
-    maybe = seen.filter("maybe").join(groups, "sha", "left").filter(stays).dropDuplicates(["sha"])
+    groups = groups_of(marked(slim, places, bits).filter("maybe").drop("maybe"), least=1)
+    # Joined by the id and length too, so that the copies of a hot text are spread; rows that agree in those are what is left to drop.
+    stays = groups.select(F.col("sha").alias("sha2"), F.col("keep.doc_id").alias("id2"), (-F.col("keep.col1")).alias("n2"))
+    agree = (F.col("sha") == F.col("sha2")) & F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("n_code") == F.col("n2"))
+    maybe = seen.filter("maybe").join(stays, agree, "left_semi").dropDuplicates(["sha"])
     return seen.filter("not maybe").select("kept_row.*").unionByName(maybe.select("kept_row.*"))
