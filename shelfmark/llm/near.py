@@ -218,7 +218,8 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
     one = sets.select(F.col("class").alias("a"), F.col("items").alias("items1"))
     two = sets.select(F.col("class").alias("b"), F.col("items").alias("items2"))
     both = pairs.join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("items1", "items2"))).withColumn("n1", F.size("items1")).withColumn("n2", F.size("items2"))
-    return both.filter(similar(percent)).select("a", "b").distinct()
+    # Written before repeats go, so that Spark can split a class with very many pairs in the join.
+    return written(both.filter(similar(percent)).select("a", "b"), "similar").distinct()
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
