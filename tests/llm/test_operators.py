@@ -371,3 +371,18 @@ def test_edge_rows_run_everywhere(spark, edge):
     assert near.near_components(edge).count() == len(EDGE)
     assert lines.dedup_lines(edge).count() == len(EDGE)
     assert pii.digest(pii.find_personal_data(edge)).count() == len(EDGE)
+
+
+def test_one_pass_round_trip(spark, sf, edge):
+    for some in (edge, table(spark, sf, "documents")):
+        apart = byte_bpe.digests(byte_bpe.decode_documents(byte_bpe.encode_documents(some)))
+        assert sorted(map(str, byte_bpe.digests(byte_bpe.round_trip(some)).collect())) == sorted(map(str, apart.collect()))
+
+
+def test_exact_copies_of_a_hot_text(spark):
+    rows = [(i if i % 7 else None, "hot text" if i % 3 == 0 else f"text {i // 2}") for i in range(300)] + [(3, "hot text"), (3, "hot text"), (500, "hot  text"), (501, "hot  text")]
+    groups = {}
+    for i, text in rows:
+        groups.setdefault(text.replace(" ", ""), []).append((-len(text), i is None, i))
+    kept = dedup.drop_exact_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["text"].replace(" ", ""), r["doc_id"] or -1) for r in kept) == sorted((key, min(g, key=lambda x: (x[0], x[1], x[2] or 0))[2] or -1) for key, g in groups.items())
