@@ -1,13 +1,15 @@
-"""Removal of repeated runs of lines by content-defined chunks.
+"""Removal of repeated runs of lines.
 
-A rolling hash over the hashes of neighbouring lines chooses chunk ends, so a run of lines is cut alike
-wherever it stands. Chunks of two or more lines with text that occur again anywhere are removed but for
-their first occurrence, after their bytes have been compared with it.
+Texts are looked at in pieces. With pairs, every two neighbouring lines with text are a piece, so a run of two
+or more lines is found whole wherever it stands. With chunks, a rolling hash over the hashes of
+neighbouring lines chooses where a piece ends; there are fewer, and runs without a whole chunk stay. Pieces
+of two or more lines with text that occur again anywhere are removed but for their first
+occurrence, after their bytes have been compared with it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,38 @@ def removable(chunk: list[bytes]) -> bool:
     return sum(bool(x.strip()) for x in chunk) >= LEAST
 
 
+#: A cut gives the lines of a text and its pieces as (first line, line after the last), in order.
+Cut = Callable[[str | None], tuple[list[bytes], list[tuple[int, int]]]]
+
+
+def by_chunks(text: str | None) -> tuple[list[bytes], list[tuple[int, int]]]:
+    """The removable chunks."""
+    out, spans = [], []
+    for chunk in chunks(text):
+        if removable(chunk):
+            spans.append((len(out), len(out) + len(chunk)))
+        out += chunk
+    return out, spans
+
+
+def by_pairs(text: str | None) -> tuple[list[bytes], list[tuple[int, int]]]:
+    """Every line with text and the next one with text, and the blank lines between."""
+    out = (text or "").encode().split(b"\n")
+    full = [k for k, x in enumerate(out) if x.strip()]
+    return out, [(a, b + 1) for a, b in zip(full, full[1:])]
+
+
+def without(held: list[bytes], spans: list[tuple[int, int]], drop: set[int]) -> tuple[bytes, int]:
+    """The lines without the pieces of drop, and how many have gone. A piece that overlaps the first occurrence of its own text leaves that whole."""
+    gone: set[int] = set()
+    for k in drop:
+        a, b = spans[k]
+        if k and k - 1 not in drop and spans[k - 1][1] > a and held[slice(*spans[k - 1])] == held[a:b]:
+            a = spans[k - 1][1]
+        gone.update(range(a, b))
+    return b"\n".join(x for k, x in enumerate(held) if k not in gone), len(gone)
+
+
 def coded(chunk: list[bytes]) -> tuple[int, bytes]:
     import xxhash
 
@@ -60,8 +94,8 @@ def text_key(text: str | None) -> int:
     return xxhash.xxh3_64_intdigest((text or "").encode()) - (1 << 63)
 
 
-def _occurrences(docs: DataFrame, with_data, hits=None) -> DataFrame:
-    """(doc_id, key, idx, hash[, data]) of the removable chunks; only those whose place is set in the shared bitmaps, if given."""
+def _occurrences(docs: DataFrame, cut: Cut, with_data, hits=None) -> DataFrame:
+    """(doc_id, key, idx, hash[, data]) of the pieces; only those whose place is set in the shared bitmaps, if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, size = _bits(hits) if hits else (None, 0)
@@ -71,11 +105,11 @@ def _occurrences(docs: DataFrame, with_data, hits=None) -> DataFrame:
                 rows = []
                 for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     key = text_key(text)
-                    for idx, chunk in enumerate(chunks(text)):
-                        if removable(chunk):
-                            h, data = coded(chunk)
-                            if bits is None or _set(bits, h % size):
-                                rows.append((i, key, idx, h, data) if with_data else (i, key, idx, h))
+                    held, spans = cut(text)
+                    for idx, (a, b) in enumerate(spans):
+                        h, data = coded(held[a:b])
+                        if bits is None or _set(bits, h % size):
+                            rows.append((i, key, idx, h, data) if with_data else (i, key, idx, h))
                 if rows:
                     columns = list(zip(*rows, strict=True))
                     arrays = [pa.array(c, pa.int32() if k == 2 else pa.binary() if k == 4 else pa.int64()) for k, c in enumerate(columns)]
@@ -96,24 +130,26 @@ def _set(bits: np.ndarray, at: int) -> bool:
     return bool(bits[at >> 3] >> (at & 7) & 1)
 
 
-def dedup_lines(docs: DataFrame, most_bits: int = BITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, most_bits: int = BITS, cut: Cut = by_chunks) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, text without removed chunks, n_lines (before), n_removed.
 
-    Lines end at line feeds. A chunk stays where it first occurs: by doc_id (null ids last), then a hash of
-    the text, then its place in it; so rows that repeat one another in both are treated alike. Null texts
-    count as empty: one empty line, never removed. Documents no chunk of which can repeat are not shuffled.
-    An empty table gives an empty result; other columns are ignored.
+    Lines end at line feeds. A piece first occurs by doc_id (null ids last), then a hash of the text, then
+    its place in it; so rows that repeat one another in both are treated alike. Chunks stay there. With
+    pairs a line goes when it is in any pair that has occurred before, so the first place of a pair may lose a
+    line to another pair; of every line one copy stays. Null texts count as empty: one empty line,
+    never removed. Documents no piece of which can repeat are not shuffled. An empty table gives an empty
+    result; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     spark = docs.sparkSession
-    counted = _occurrences(docs, False)
+    counted = _occurrences(docs, cut, False)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "idx")
     repeated = written(counted.groupBy("hash").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", "first"), "repeated")
     size = filter_bits(repeated.count(), most_bits)
     places = bitmaps(repeated.select(F.pmod("hash", F.lit(size)).alias("at"))).toArrow()  # most_bits bits at most
     hits = spark.sparkContext.broadcast((size, list(zip(places.column("bucket").to_pylist(), places.column("bits").to_pylist(), strict=True))))
 
-    found = written(_occurrences(docs, True, hits).withColumn("at", order), "occurrences")
+    found = written(_occurrences(docs, cut, True, hits).withColumn("at", order), "occurrences")
     firsts = found.join(repeated.withColumnRenamed("first", "at"), ["hash", "at"], "left_semi").select("hash", F.col("data").alias("first_data"), F.col("at").alias("first")).dropDuplicates(["hash"])
     firsts = written(firsts, "firsts")
     # Both tables grow with the corpus, so neither is broadcast at any size.
@@ -128,7 +164,8 @@ def dedup_lines(docs: DataFrame, most_bits: int = BITS) -> DataFrame:
                 texts = part.column(1).to_pylist()
                 maybe, lines = [], []
                 for text in texts:
-                    maybe.append(any(removable(c) and _set(bits, coded(c)[0] % size) for c in chunks(text)))
+                    held, spans = cut(text)
+                    maybe.append(any(_set(bits, coded(held[a:b])[0] % size) for a, b in spans))
                     lines.append(text.count("\n") + 1)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(text_key, texts), pa.int64()), pa.array(lines, pa.int64()), pa.array(maybe)], names=["doc_id", "text", "key", "n_lines", "maybe"])
 
@@ -138,9 +175,9 @@ def dedup_lines(docs: DataFrame, most_bits: int = BITS) -> DataFrame:
                 part = batch.slice(at, 500)
                 out, removed = [], []
                 for text, idx in zip(part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    drop, all_chunks = set(idx or ()), chunks(text)
-                    out.append(b"\n".join(x for k, c in enumerate(all_chunks) if k not in drop for x in c).decode())
-                    removed.append(sum(len(all_chunks[k]) for k in drop))
+                    left, n = without(*cut(text), set(idx or ()))
+                    out.append(left.decode())
+                    removed.append(n)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out), part.column(2), pa.array(removed, pa.int64())], names=["doc_id", "text", "n_lines", "n_removed"])
 
     flagged = arrow_map(docs, flag, "doc_id long, text string, key long, n_lines long, maybe boolean")

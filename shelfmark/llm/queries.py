@@ -45,7 +45,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return lines.dedup_lines(table(spark, sf_dir, "documents"), cut=lines.by_pairs)
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

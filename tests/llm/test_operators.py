@@ -286,6 +286,42 @@ def test_lines_against_brute_force(spark):
     assert got == want and sum(len(x) for v in got.values() for x in v) < 0.5 * sum(len(t or "") for _, t in texts)
 
 
+def brute_runs(texts):
+    """Texts without the lines that stood beside the same line with text earlier; rows in the operator's order."""
+    seen, out = {}, {}
+    for i, t in sorted(texts, key=lambda x: (x[0] is None, x[0] or 0, lines.text_key(x[1]))):
+        row, held = (i, t), (t or "").split("\n")
+        gone = set()
+        for a in range(len(held)):
+            b = next((k for k in range(a + 1, len(held)) if held[k].strip()), None)
+            if held[a].strip() and b is not None:
+                at = seen.setdefault(tuple(held[a : b + 1]), (row, a, b))
+                if at != (row, a, b):
+                    gone |= set(range(a, b + 1)) - (set(range(at[1], at[2] + 1)) if at[0] == row else set())
+        out.setdefault(i, []).append(("\n".join(x for k, x in enumerate(held) if k not in gone), len(gone)))
+    return out
+
+
+def test_short_runs_of_lines_go(spark, tmp_path):
+    draw = random.Random(6)
+    runs = [[f"run {p} {k} of some words" for k in range(2 + p % 4)] for p in range(12)]
+    texts = [(0, None), (1, ""), (2, "\n\n\n"), (3, "a"), (4, "x\nx\nx\nx"), (5, "p\n\nq\n \nr"), (6, "0\np\n\nq\n1\nq\n \nr"), (7, "x y\nalone"), (8, "alone\nz"), (None, "p\n\nq")]
+    for i in range(20, 90):
+        own = [f"own {i} {k}" for k in range(draw.randrange(4))]
+        texts.append((i, "\n".join(own + draw.choice(runs) + own[::-1] + draw.choice(runs) + ["alone"] * draw.randrange(2))))
+    texts += [(200, texts[-1][1]), (200, texts[-1][1])]
+    spark.createDataFrame([(i, t, "clash") for i, t in texts], "doc_id long, text string, hash string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {}
+    for r in queries.op9_line_dedup(spark, str(tmp_path)).collect():
+        got.setdefault(r["doc_id"], []).append((r["text"], r["n_removed"]))
+        assert r["n_lines"] == (dict(texts)[r["doc_id"]] or "").count("\n") + 1
+    want = brute_runs(texts)
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items()}
+    assert got[4] == [("x\nx", 2)] and got[6] == [("0\n1", 6)] and got[8] == [("alone\nz", 0)] and got[None] == [("", 3)]
+    assert {x for _, t in texts for x in (t or "").split("\n")} == {x for v in got.values() for t, _ in v for x in t.split("\n")} | {" "}
+    assert not any(set(r) <= set(t.split("\n")) for r in runs for t, _ in got[200])
+
+
 # Personal data
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
