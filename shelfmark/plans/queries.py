@@ -308,7 +308,8 @@ def solid_grams(spark, d):
 
 @query()
 def plot_keywords(spark, d):
-    found = text.keywords(names(spark, d), min_solidity=5.0)
+    docs = m.table(spark, d, "documents")
+    found = text.keywords(docs, min_count=max(4, docs.count() // 400 + 2))
     return spark.createDataFrame([(k["word"], k["count"], k["score"]) for k in found], "word string, count long, score double")
 
 
