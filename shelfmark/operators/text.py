@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,8 +32,8 @@ def tokenize(title: str | None, known: frozenset = frozenset(), stop: frozenset
     return [t for t in out if t not in stop and len(t) > 1]
 
 
-def title_terms(items: DataFrame, known: list[str] = (), stop: list[str] = (), top_n: int = 50, min_count: int = 2) -> DataFrame:
-    """(term, count): titles that hold a term, each counted once; count falling, then term. Titles are counted before they are cut."""
+def cut_titles(known: list[str] = (), stop: list[str] = ()) -> Callable[[Column], Column]:
+    """The distinct terms of a title as an array."""
     known, stop = frozenset(known), frozenset(stop)
 
     @F.pandas_udf("array<string>")
@@ -41,8 +41,13 @@ def title_terms(items: DataFrame, known: list[str] = (), stop: list[str] = (), t
         for titles in batches:
             yield titles.map(lambda t: tokenize(t, known, stop))
 
+    return lambda title: F.array_distinct(cut(title))
+
+
+def title_terms(items: DataFrame, known: list[str] = (), stop: list[str] = (), top_n: int = 50, min_count: int = 2) -> DataFrame:
+    """(term, count): titles that hold a term, each counted once; count falling, then term. Titles are counted before they are cut."""
     titles = items.groupBy("title").agg(F.count("*").alias("n"))
-    terms = titles.select("n", F.explode(F.array_distinct(cut("title"))).alias("term")).groupBy("term").agg(F.sum("n").cast("long").alias("count")).filter(F.col("count") >= min_count)
+    terms = titles.select("n", F.explode(cut_titles(known, stop)(F.col("title"))).alias("term")).groupBy("term").agg(F.sum("n").cast("long").alias("count")).filter(F.col("count") >= min_count)
     return terms.orderBy(F.desc("count"), "term").limit(top_n) if top_n else terms
 
 

@@ -379,8 +379,7 @@ def theme_pairs(spark, d):
 
 @query()
 def theme_clusters(spark, d):
-    tags = m.item_tags(spark, d)
-    return graph.assign_themes(tags, graph.themes(graph.theme_pairs(tags).collect()))  # 80 seeds make 3,160 pairs at most
+    return graph.theme_clusters(m.items(spark, d), m.item_tags(spark, d))
 
 
 @query(

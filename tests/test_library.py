@@ -254,3 +254,71 @@ def test_plot_keywords_over_whole_texts(spark, tmp_path, n_words):
     assert fell_back == (n_words < 9) and want
     assert [g[:2] for g in got] == [w[:2] for w in want] and all(math.isclose(g[2], w[2], rel_tol=1e-3) for g, w in zip(got, want, strict=True))
     assert not {"我们", "已经"} & {g[0] for g in got} and not any(g[0][0] in "的了" or g[0][-1] in "的了" for g in got)
+
+
+def brute_themes(items, tags, top_n):
+    """(theme, size, members, subthemes, picks, children) of each theme, by loops over items."""
+    words = {i: set(re.findall(r"[A-Za-z0-9]{2,}", t)) for i, t in items}
+    by_tag = defaultdict(set)
+    for i, t in tags:
+        by_tag[t].add(i)
+    count = Counter(w for s in words.values() for w in s)
+    pool = sorted(by_tag, key=lambda t: (-len(by_tag[t]), t))[: 3 * top_n]
+    pool = [(len(by_tag[t]), t) for t in pool] + [(n, w) for w, n in sorted(count.items(), key=lambda x: (-x[1], x[0])) if n >= 2][:top_n]
+    pool = sorted(((n, t) for n, t in pool if n <= 0.55 * len(items) and not t.isdigit()), key=lambda x: (-x[0], x[1]))[: 2 * top_n]
+    f = {t: n for n, t in pool}
+    held = {i: {t for t in f if i in by_tag[t] or t in words[i]} for i, _ in items}
+    co = lambda a, b, among=None: sum({a, b} <= held[i] for i in (among or held))
+    used, found = set(), []
+    for t in f:
+        if t not in used:
+            near = sorted((-co(t, u) / (f[t] + f[u] - co(t, u)), u) for u in f if u not in used and u != t and co(t, u) >= 3 + max(0, (f[t] - 50) // 50))[:12]
+            used |= {t, *(u for _, u in near)}
+            found.append([t, *(u for _, u in near)])
+    best = {i: max(range(len(found)), key=lambda k: (len(held[i] & set(found[k])), -k)) for i in held}
+    out = []
+    for k, names in enumerate(found):
+        own = [i for i in held if best[i] == k and len(held[i] & set(names)) >= 2]
+        if len(own) < 4:
+            continue
+        picks = sorted((-len(held[i] & set(names)), i) for i in held if len(held[i] & set(names)) >= 2)[:5]
+        pairs = sorted(((-co(a, b) / (f[a] + f[b] - co(a, b)), names.index(a), names.index(b)) for a, b in itertools.combinations(names, 2) if co(a, b) >= 2))
+        seen, subs = set(), []
+        for _, a, b in pairs:
+            if len(subs) < 3 and not {a, b} <= seen:
+                seen |= {a, b}
+                subs.append(f"{names[a]} × {names[b]}")
+        kids, gone = [], set()
+        if len(own) >= max(200, 0.2 * len(items)):
+            g = Counter(t for i in own for t in held[i] if t not in names)
+            rest = sorted((t for t in g if g[t] >= max(5, len(own) * 0.01)), key=lambda t: (-g[t], t))
+            for t in rest:
+                if t not in gone and len(kids) < 4:
+                    near = sorted((-co(t, u, own) / (g[t] + g[u] - co(t, u, own)), u) for u in rest if u not in gone and u != t and co(t, u, own) >= max(3, int(len(own) * 0.005)))[:4]
+                    group = [t, *(u for _, u in near)]
+                    gone |= set(group)
+                    n = sum(len(held[i] & set(group)) >= 2 for i in own)
+                    if near and n >= max(20, len(own) * 0.02):
+                        kids.append((group, n))
+        out.append((names[0], len(own), names[1:], subs, [i for _, i in picks], sorted(kids, key=lambda x: -x[1]), own))
+    return sorted(out, key=lambda x: -x[1])
+
+
+def test_theme_clusters(spark):
+    draw = random.Random(8)
+    items, tags, facts = [], [], {}
+    for i in range(900):
+        group = draw.choices(range(6), weights=(14, 3, 2, 2, 1, 1))[0]
+        items.append((i, f"AB-{i:05d} common {draw.choice(['harbour', 'meadow', 'tower'])}{group} {'' if group else f'kid{i % 5}'}"))
+        tags += [(i, f"g{group}t{draw.randrange(14)}") for _ in range(5)] + [(i, f"s{draw.randrange(40)}")] + ([(i, f"child{i % 5}"), (i, "2024")] if draw.random() < 0.6 else [])
+        facts[i] = (draw.choice([0.0, 3.0, 8.5]), 1990 + i % 9)
+    spark_items = spark.createDataFrame([(i, f"C{i}", t, *facts[i]) for i, t in items], "item_id long, code string, title string, userrating double, year int")
+    rows = graph.theme_clusters(spark_items, spark.createDataFrame(tags, "item_id long, tag string"), top_n=50).collect()
+    want = brute_themes(items, tags, 50)
+    got = [(r["theme"], r["size"], [x["name"] for x in r["members"]], [x["label"] for x in r["subthemes"]], [x["item_id"] for x in r["representatives"]], [([x["theme"], *x["members"]], x["size"]) for x in r["children"]]) for r in rows]
+    assert sorted(got) == sorted(w[:6] for w in want) and [g[1] for g in got] == [w[1] for w in want]
+    assert any(w[5] for w in want) and any(x["kind"] == "title_term" for r in rows for x in r["members"])
+    for r in rows:
+        own = next(w[6] for w in want if w[0] == r["theme"])
+        rated = [facts[i] for i in own if facts[i][0] > 0]
+        assert abs(r["avg_rating"] - sum(x for x, _ in rated) / len(rated)) < 0.006 and (r["year_min"], r["year_max"]) == (min(y for _, y in rated), max(y for _, y in rated))
