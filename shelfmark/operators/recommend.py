@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
 import math
 import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.operators.search import recent_ids
+
 #: Fixed values of the scoring rules: weights by token kind, horizon of recency in days, plays that are free of penalty.
 WEIGHTS = {"tag": 2.0, "person": 2.0, "director": 2.0, "studio": 1.0, "title": 1.0}
 RECENT_DAYS, FREE_PLAYS, FORGET = 180, 3, 12
@@ -81,20 +84,28 @@ def mmr(candidates: list[int], base: dict[int, float], held: dict[int, set], k:
     return chosen[:k]
 
 
-def picks(items: DataFrame, all_tokens: DataFrame, preference: DataFrame, votes: DataFrame, plays: DataFrame, *, today: str, seed: int = 1, limit: int = 18, pool: int = 2000, explore: int = 3, diversity: float = 0.5, seen: DataFrame | None = None, batch: int = 0) -> DataFrame:
+def picks(items: DataFrame, all_tokens: DataFrame, preference: DataFrame, votes: DataFrame, plays: DataFrame, *, today: str, seed: int = 1, limit: int = 18, pool: int = 2000, explore: int = 3, diversity: float = 0.5, seen: DataFrame | None = None, batch: int = 0, favoured: DataFrame | None = None) -> DataFrame:
     """(item_id, score) of the picks: a seeded random pool without voted items, scored on the cluster; pool rows at most reach the driver.
 
+    The pool has 2 * pool items. Favoured items (item_id), as many at most, join it and score 2 * jitter more.
+
     Tiers by score (30, 45, 25 percent) give their quotas in a jittered order, diversified by greedy choice;
     what is missing is filled from the whole order.
     """
-    fresh = items.join(votes.select("item_id"), "item_id", "left_anti").orderBy(F.xxhash64(F.lit(seed), "item_id")).limit(2 * pool)
+    unvoted = items.join(votes.select("item_id"), "item_id", "left_anti")
+    at = F.xxhash64(F.lit(seed), "item_id")
+    fresh = unvoted.orderBy(at).limit(2 * pool).withColumn("favoured", F.lit(False))
+    if favoured is not None:
+        wanted = unvoted.join(favoured.select("item_id").distinct(), "item_id", "left_semi").orderBy(at).limit(2 * pool).withColumn("favoured", F.lit(True))
+        fresh = fresh.join(wanted.select("item_id"), "item_id", "left_anti").unionByName(wanted)
     scored = fresh.join(base_scores(all_tokens, preference), "item_id", "left").join(plays.select("item_id", "play_count"), "item_id", "left").withColumn("base", F.coalesce("score", F.lit(0.0)))
     jitter = max(2.0, 0.6 * (scored.agg(F.max(F.abs("base"))).first()[0] or 0.0))
+    scored = scored.withColumn("base", F.col("base") + F.when(F.col("favoured"), 2 * jitter).otherwise(0.0))
     total = F.col("base") + recency_boost(F.col("premiered"), F.col("dateadded"), today, jitter) + browse_penalty(F.coalesce("play_count", F.lit(0)), F.lit(None), jitter)
     if seen is not None:
         scored = scored.join(seen.select("item_id", "batch"), "item_id", "left")
         total = total + F.coalesce(recent_penalty(F.col("batch"), batch, jitter), F.lit(0.0))
-    rows = scored.select("item_id", "base", total.alias("total")).orderBy(F.desc("total"), "item_id").limit(2 * pool).collect()  # the pool
+    rows = scored.select("item_id", "base", total.alias("total")).orderBy(F.desc("total"), "item_id").limit(4 * pool).collect()  # the pool and favoured items
     draw = random.Random(seed)
     noisy = {r["item_id"]: r["total"] + draw.random() * jitter for r in rows}
     n = len(rows)
@@ -115,6 +126,41 @@ def picks(items: DataFrame, all_tokens: DataFrame, preference: DataFrame, votes:
     return items.sparkSession.createDataFrame([(i, float(noisy[i])) for i in out], "item_id long, score double")
 
 
+def liked_person(items: DataFrame, people: DataFrame, votes: DataFrame, out: DataFrame, seed: int, batch: int, used: DataFrame | None = None) -> DataFrame:
+    """(item_id, person): one item, not of out, that shares a person with an up-voted one, both drawn by the seed and batch.
+
+    Persons that gave an item (used: person, batch) FORGET batches ago or later are passed over, unless all are.
+    """
+    some = people.select("item_id", "person").filter("person <> ''").distinct()
+    liked = some.join(votes.filter("vote > 0").select("item_id"), "item_id", "left_semi").select("person").distinct()
+    if used is not None:
+        rested = liked.join(used.filter(F.lit(batch) - F.col("batch") <= FORGET).select("person"), "person", "left_anti")
+        liked = liked if rested.isEmpty() else rested
+    free = some.join(liked, "person", "left_semi").join(items.select("item_id"), "item_id", "left_semi").join(out, "item_id", "left_anti")
+    draw = lambda c: F.xxhash64(F.lit(seed), F.lit(batch), c)
+    return free.orderBy(draw("person"), "person", draw("item_id"), "item_id").limit(1).select("item_id", "person")
+
+
+def smart_picks(items: DataFrame, all_tokens: DataFrame, preference: DataFrame, votes: DataFrame, plays: DataFrame, people: DataFrame, *, today: str, seed: int = 1, limit: int = 18, pool: int = 2000, explore: int = 3, diversity: float = 0.5, seen: DataFrame | None = None, batch: int = 0, favoured: DataFrame | None = None, used: DataFrame | None = None) -> DataFrame:
+    """(item_id, score, part, person) of the picks, with what they should cover besides, from the whole items table.
+
+    Two items of the last RECENT_DAYS days, two of the last 30 (often the same) and one that shares a liked person
+    follow the base flow, whose tail is cut to limit; none of them is voted or was shown FORGET batches ago or
+    later. part is base, recent or liked; person is the one to pass in used next time. The base flow
+    runs short of limit only when it has all items without a vote, so there is nothing to fill up with.
+    """
+    spark = items.sparkSession
+    base = [tuple(r) for r in picks(items, all_tokens, preference, votes, plays, today=today, seed=seed, limit=limit, pool=pool, explore=explore, diversity=diversity, seen=seen, batch=batch, favoured=favoured).collect()]
+    out = votes.select("item_id").unionByName(spark.createDataFrame([(i,) for i, _ in base], "item_id long"))
+    if seen is not None:
+        out = out.unionByName(seen.filter(F.lit(batch) - F.col("batch") <= FORGET).select("item_id"))
+    more = {r["item_id"]: ("recent", None) for days in (RECENT_DAYS, 30) for r in recent_ids(items, str(datetime.date.fromisoformat(today) - datetime.timedelta(days)), 2, out).collect()}
+    out = out.unionByName(spark.createDataFrame([(i,) for i in more], "item_id long"))
+    more |= {r["item_id"]: ("liked", r["person"]) for r in liked_person(items, people, votes, out, seed, batch, used).collect()}
+    rows = [(i, score, "base", None) for i, score in base[: max(0, limit - len(more))]] + [(i, 0.0, *x) for i, x in more.items()]
+    return spark.createDataFrame(rows[:limit], "item_id long, score double, part string, person string")
+
+
 def vote_records(votes: DataFrame, items: DataFrame, plays: DataFrame, sign: int = 0) -> DataFrame:
     """Votes with what they stand on; a sign keeps those of it."""
     out = votes.join(items.select("item_id", "code", "title", "studio"), "item_id", "left").join(plays.select("item_id", "play_count"), "item_id", "left").withColumn("play_count", F.coalesce("play_count", F.lit(0)))

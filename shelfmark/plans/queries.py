@@ -354,7 +354,7 @@ def browse_penalty(spark, d):
 
 @query()
 def smart_picks(spark, d):
-    return recommend.picks(m.items(spark, d), tokens(spark, d), preference(spark, d), m.votes(spark, d), m.plays(spark, d), today=TODAY)
+    return recommend.smart_picks(m.items(spark, d), tokens(spark, d), preference(spark, d), m.votes(spark, d), m.plays(spark, d), m.item_people(spark, d), today=TODAY)
 
 
 @query("SELECT v.item_id, v.vote, v.voted_at, i.code, i.title, i.studio, coalesce(p.play_count, 0) AS play_count FROM votes v LEFT JOIN items i USING (item_id) LEFT JOIN plays p USING (item_id)", ITEMS, VOTES, PLAYS)

@@ -322,3 +322,31 @@ def test_theme_clusters(spark):
         own = next(w[6] for w in want if w[0] == r["theme"])
         rated = [facts[i] for i in own if facts[i][0] > 0]
         assert abs(r["avg_rating"] - sum(x for x, _ in rated) / len(rated)) < 0.006 and (r["year_min"], r["year_max"]) == (min(y for _, y in rated), max(y for _, y in rated))
+
+
+def test_smart_picks_cover_recent_items_and_liked_people(spark):
+    old = [(i, f"t{i}", f"C{i}", "s", "1990-01-01", "1990-01-01 00:00") for i in range(400)]
+    new = [(1000 + k, "new", "N", "s", "1990-01-01", f"2001-0{m}-15 00:00") for k, m in enumerate((8, 8, 8, 6, 6))]
+    items = spark.createDataFrame(old + new, "item_id long, title string, code string, studio string, premiered string, dateadded string")
+    people = spark.createDataFrame([(i, f"p{i % 40}") for i in range(400)] + [(1000, "p1")], "item_id long, person string")
+    tags = spark.createDataFrame([(i, f"t{i % 7}") for i in range(400)] + [(7, "rare"), (390, "rare")], "item_id long, tag string")
+    votes = spark.createDataFrame([(1, 1), (2, 1), (1001, 1), (3, -1)], "item_id long, vote int")
+    plays = spark.createDataFrame([], "item_id long, play_count long")
+    tokens = recommend.tokens(items, tags, people)
+    run = lambda today="2001-09-01", **x: recommend.smart_picks(items, tokens, recommend.profile(tokens, votes, 405), votes, plays, people, today=today, pool=20, **x).collect()
+    rows = run()
+    assert len({r["item_id"] for r in rows}) == len(rows) == 18 and rows == run() and not {1, 2, 3, 1001} & {r["item_id"] for r in rows}
+    base = {r["item_id"] for r in rows if r["part"] == "base"}
+    assert [r["item_id"] for r in rows if r["part"] == "recent"] == sorted({1000, 1002, 1003, 1004} - base)[:2]
+    liked = rows[-1]
+    assert liked["part"] == "liked" and liked["person"] in ("p1", "p2") and liked["item_id"] % 40 == int(liked["person"][1])
+    used = spark.createDataFrame([(liked["person"], 1)], "person string, batch long")
+    other = run(used=used, batch=5)[-1]
+    assert {liked["person"], other["person"]} == {"p1", "p2"}
+    assert run(used=used.unionByName(spark.createDataFrame([(other["person"], 4)], used.schema)), batch=5)[-1]["part"] == "liked"
+    seen = spark.createDataFrame([(1000, 1), (1002, 1)], "item_id long, batch long")
+    later = run(seen=seen, batch=2)
+    assert not {1000, 1002} & {r["item_id"] for r in later if r["part"] != "base"} and {1003, 1004} <= {r["item_id"] for r in later}
+    assert not any(r["part"] == "recent" for r in run(today="2005-01-01"))
+    hits = search.keyword_ids(items, tags, people, "rare")
+    assert {7, 390} <= {r["item_id"] for r in run(favoured=hits)} and not {7, 390} <= base
