@@ -147,6 +147,7 @@ def byte_signs() -> dict[int, str]:
 class Words(dict):
     """Packed ids by part of a text. Texts are cut where the vocabulary's splitter always cuts: at spaces, line
     feeds and, in Latin-1, between the PARTS. A part of letters alone goes straight to the vocabulary's merges.
+    Added tokens in a text are found as the library finds them.
     """
 
     def __init__(self, vocabulary: str):
@@ -157,7 +158,8 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
-        self.tokenizer.encode_special_tokens = True
+        # Texts that may hold an added token are encoded whole: by its first two signs, as normalising may change case.
+        self.marks = {t.content[:2].lower() for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.merge, self.signs = self.tokenizer.model.tokenize, byte_signs()
 
     def __missing__(self, part: str) -> bytes:
@@ -174,9 +176,12 @@ class Words(dict):
     def encode(self, text: str) -> bytes:
         if len(self) > MEMORY:
             self.clear()
+        lower = text.lower()
+        if any(m in lower for m in self.marks):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         try:
             text.encode("latin-1")
-            parts = PARTS.findall(text.lower())
+            parts = PARTS.findall(lower)
         except UnicodeEncodeError:
             parts = text.replace("\n", " ").split(" ")
         return b"".join(map(self.__getitem__, parts))

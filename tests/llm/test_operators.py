@@ -92,6 +92,22 @@ def test_words_match_the_library():
         assert np.frombuffer(dac.words(dac.VOCABULARY).encode(t), "<u4").tolist() == plain_ids(t)[:-1]
 
 
+def test_added_tokens_as_a_fresh_tokenizer_finds_them(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(public_tokenizers.path(dac.VOCABULARY))
+    texts = ["a <|endoftext|> b <|startoftext|>c", "x<|ENDOFTEXT|>y", "<|endoftext|>", "a <| b |> <|endoftext", "é 漢字<|startoftext|>\n<|endoftext|>'s", "plain < | words", "it's 5 <b>"]
+    assert fresh.encode(texts[0], add_special_tokens=False).ids == [320, 49407, 321, 49406, 322]
+    start, want = 0, []
+    for i, t in enumerate(texts):
+        ids = [*fresh.encode(t, add_special_tokens=False).ids, 1]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, dac.read_documents(dac.write_documents(df)).collect())) == want
+
+
 def test_token_files_query(spark, sf, docs):
     start = 0
     for r in queries.op4_token_files(spark, sf).orderBy("doc_id").collect():
