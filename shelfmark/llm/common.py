@@ -6,9 +6,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.cluster import ship, shared_dir, written
+from shelfmark.cluster import dropped, ship, shared_dir, written
 
-__all__ = ["arrow_map", "batch_of", "code_points", "ship", "shared_dir", "table", "without_space", "word_count", "written"]
+__all__ = ["arrow_map", "batch_of", "code_points", "dropped", "ship", "shared_dir", "table", "without_space", "word_count", "written"]
 
 #: The white space of the text contracts: space, and tab to carriage return.
 SPACE = " \t\n\x0b\x0c\r"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import written
+from shelfmark.llm.common import dropped, written
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -27,7 +27,8 @@ def components(links: DataFrame) -> DataFrame:
     now = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     seen = None
     while True:
-        now = written(_stars(_stars(now, large=True), large=False), "links")
+        last, now = now, written(_stars(_stars(now, large=True), large=False), "links")
+        dropped(last)
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == seen:
             break

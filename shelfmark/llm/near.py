@@ -1,20 +1,21 @@
 """Join of documents by the Jaccard similarity of their word shingles, with set relations skipping work.
 
 Sets that are equal become one class first. Every class indexes the prefix of its set, the rarest shingles
-first, so long that linked sets share many of them (spare); a class with too few that occur elsewhere has
-no partner and leaves the index. The index lists are cut into blocks by shingle and size;
-a class probes the block of its own size and the next larger ones its partners may lie in. Positions in
-the sets, and signatures of the prefixes, rule out pairs that cannot overlap enough: two prefixes must
-share about half their shingles, and each bit of one signature that the other lacks is a shingle that
-they do not share. So whole blocks and most places are skipped.
+first, so long that linked sets share many of them (spare). Shingles that no other class's prefix holds are
+known not to be shared: a class with too few others has no partner and leaves the index, and so does the
+tail of every list that no first common shingle can lie in. The index lists are cut into blocks by shingle
+and size; a class probes the block of its own size and the next larger ones its partners may lie in. Positions
+in the lists, and signatures of what the lists hold, rule out pairs that cannot share enough.
+So whole blocks and most places are skipped, and a pair that is left has few rows.
 
 Answers are derived from those of similar sets: each class is first compared with one leader, the member
 of its blocks with the shingle nearest the front. A class that links to its leader takes over the
-leader's component. Pairs inside a component are then never compared, and a block whose classes are all
+leader's component; pairs under one leader, linked to it or not, are answered from what they differ in (leaders.py).
+Pairs inside a component are then never compared, and a block whose classes are all
 in one component is dropped whole; what is left is compared pair by pair. So components come out exact
 without the pairs inside groups of copies.
 
-Shingles and sets are known by 64-bit hashes. The order of shingles comes from counts of all
+Shingles are known by 64-bit hashes, sets and texts by 128 bits. The order of shingles comes from counts of all
 documents in CELLS cells; it has an effect on speed alone.
 """
 
@@ -24,17 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import arrow_map, written
+from shelfmark.llm.common import arrow_map, dropped, written
 from shelfmark.llm.components import components
 from shelfmark.llm.dedup import bitmaps, filter_bits, hit
+from shelfmark.llm.leaders import centred, certain, inside
 
 #: Cells of the frequency sketch (1 MB when it is sent out), and the parts it is counted in.
 CELLS, PARTS = 1 << 20, 16
-#: Bits of a prefix's signature, in 64-bit words.
+#: 64-bit words of the signature of a list.
 WORDS = 4
+#: A class that differs from its leader by more than so many times what links allow is compared by its lists alone.
+FAR = 4
 #: Words that a worker remembers the hashes of, and texts and shingles that it holds before it counts them.
 MEMORY, TEXTS, HELD = 100_000, 500, 1 << 19
 
@@ -151,7 +155,7 @@ def _packed_cells(slot: int, cells: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def indexed(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, d1, prefix, sig): set size, digest, prefix and its signature of every document; the prefix rarest first, in index order."""
+    """(row, doc_id, copy, n, digest, prefix) of every document: a number of the row, the digest of its text, its set's size and 128-bit digest, and the prefix of its set, rarest first, in index order."""
     shared = docs.sparkSession.sparkContext.broadcast(counts.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,35 +165,40 @@ def indexed(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> Da
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sizes, d1, prefixes, signs = [], [], [], []
-                for text in part.column(1).to_pylist():
+                sizes, digests, prefixes = [], [], []
+                for text in part.column(3).to_pylist():
                     s = shingles(text, width)
                     sizes.append(len(s))
-                    d1.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
+                    digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                     keep = len(s) - least_overlap(len(s), percent) + spare(len(s), percent)
                     order = np.lexsort((s, rare[(s >> np.uint64(44)).astype(np.int64)]))[:keep]
                     prefixes.append(s[order].view(np.int64))
-                    bits = np.zeros(64 * WORDS, np.uint8)
-                    bits[(s[order] & np.uint64(64 * WORDS - 1)).astype(np.int64)] = 1
-                    signs.append(np.packbits(bits).view(np.int64).tolist())
                 lengths = np.cumsum([0, *map(len, prefixes)])
                 flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int32()), pa.array(d1, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat, pa.int64())), pa.array(signs, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "d1", "prefix", "sig"],
+                    [part.column(0), part.column(1), part.column(2), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat, pa.int64()))],
+                    names=["row", "doc_id", "copy", "n", "digest", "prefix"],
                 )
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n int, d1 long, prefix array<long>, sig array<long>")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", copy_of(F.col("text")).alias("copy"), "text")
+    return arrow_map(rows, run, "row long, doc_id long, copy binary, n int, digest binary, prefix array<long>")
+
+
+def copy_of(text: Column) -> Column:
+    """128 bits of the digest of a text, which tell rows of one id apart."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
 
 
 def sets_of(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
-    """(class, items): whole sets of the documents whose ids are in needed (doc_id), and of a few others.
+    """(class, items): the whole set of each class in needed (class, doc_id, digest), once.
 
-    The texts are picked by a filter of the needed ids, of bounded size, so none is shuffled.
+    The texts are picked by a filter of the needed ids, of bounded size, so none is shuffled; sets that it
+    lets through beyond those go by their digests.
     """
+    place = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(bits))
     bits = filter_bits(needed.count())
-    places = written(bitmaps(needed.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("at"))), "needed")
-    some = hit(docs, places, F.pmod(F.xxhash64("doc_id"), F.lit(bits)), "wanted").filter("wanted").select("text")
+    places = written(bitmaps(needed.select(place().alias("at"))), "needed")
+    some = hit(docs, places, place(), "wanted").filter("wanted").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -197,115 +206,178 @@ def sets_of(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 sets = [shingles(t, width) for t in batch.column(0).slice(at, 500).to_pylist()]
-                names = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
+                digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 lengths = np.cumsum([0, *map(len, sets)])
                 flat = np.concatenate(sets).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat, pa.int64()))], names=["class", "items"])
-
-    return written(arrow_map(some, run, "class long, items array<long>"), "sets")
-
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat, pa.int64()))], names=["digest", "items"])
 
-def similar(percent: int):
-    """Condition on two sizes and the overlap n1, n2, both."""
-    return F.expr(f"100L * both >= {percent}L * (n1 + n2 - both)")
+    found = arrow_map(some, run, "digest binary, items array<long>").dropDuplicates(["digest"])
+    out = written(found.join(needed.select("digest", "class"), "digest").select("class", "items"), "sets")
+    dropped(places)
+    return out
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are that similar."""
+def compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, *more: Column) -> DataFrame:
+    """The pairs (a, b) of classes with the sizes n1, n2 of their sets, the size of what both hold, and more, of their sets items1, items2."""
     pairs = written(pairs, "pairs")
     ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    sets = sets_of(docs, written(classes.join(ends, "class", "left_semi").select("doc_id"), "ends"), width)
+    ends = written(classes.join(ends, "class", "left_semi"), "ends")
+    sets = sets_of(docs, ends, width)
     one = sets.select(F.col("class").alias("a"), F.col("items").alias("items1"))
     two = sets.select(F.col("class").alias("b"), F.col("items").alias("items2"))
-    both = pairs.join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("items1", "items2"))).withColumn("n1", F.size("items1")).withColumn("n2", F.size("items2"))
-    # Written before repeats go, so that Spark can split a class with very many pairs in the join.
-    return written(both.filter(similar(percent)).select("a", "b"), "similar").distinct()
-
-
-def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id.
-
-    Two documents link when the Jaccard similarity of their shingle sets is at least percent / 100; the
-    component is the smallest doc_id reachable by links, the document's own included. Null and empty texts
-    and texts without words have no shingles and link with nothing. Null ids take no part in links and are
-    their own (null) component; rows that repeat an id with other texts are documents of their own under one
-    id. Other columns are ignored; an empty table gives an empty result.
+    both = pairs.join(one, "a").join(two, "b").select("*", F.size("items1").alias("n1"), F.size("items2").alias("n2"), F.size(F.array_intersect("items1", "items2")).alias("both"))
+    out = written(both.select("a", "b", "n1", "n2", "both", *more), "compared")
+    dropped(pairs, ends, sets)
+    return out
+
+
+class Bounds:
+    """SQL of what linked sets must share, from their sizes n1 and n2 and the percentage."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        #: What two linked sets share at least.
+        self.need = f"(({percent}L * (n1 + n2) + {100 + percent - 1}L) div {100 + percent}L)"
+        out = [f"({self.least(n)} - {self.spare(n)})" for n in ("n1", "n2")]
+        #: What their prefixes share at least: what is not in both lies beyond the prefix that ends first.
+        self.share = f"greatest({self.need} - greatest({out[0]}, {out[1]}), {self.spare('least(n1, n2)')})"
+        self.sizes = f"100L * least(n1, n2) >= {percent}L * greatest(n1, n2)"
+        self.linked = f"100L * both >= {percent}L * (n1 + n2 - both)"
+
+    def least(self, n: str) -> str:
+        """least_overlap in SQL."""
+        return f"(({self.percent}L * {n} + 99) div 100)"
+
+    def spare(self, n: str) -> str:
+        """spare in SQL."""
+        return f"least({self.least(n)}, 1 + {n} * {100 - self.percent} div 200)"
+
+    def fits(self) -> str:
+        """Whether two postings may be the first shingle that two linked sets share: after it, either list must still hold enough, and the signatures must not show too many that the other lacks."""
+        lacks = {k: " + ".join(f"bit_count(w{w}_{k} & ~w{w}_{3 - k})" for w in range(WORDS)) for k in (1, 2)}
+        room = "least(" + ", ".join(f"held{k} - greatest(rank{k}, {lacks[k]})" for k in (1, 2)) + ")"
+        return f"{self.sizes} and {room} >= {self.share}"
+
+
+def lists_of(index: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The index lists: (shingle, block, class, n, held, rank, w0, ...) for the shingles of the prefixes that other classes' prefixes hold.
+
+    held is how many such shingles a class has, rank the number of those before this one. Linked sets
+    have many of them in common, worth at least; so a class with fewer leaves the index, and of the others the
+    last worth - 1 shingles need no place in it.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    index = written(indexed(docs, frequency(docs, width), width, percent), "index")
-    listed = index.filter("doc_id is not null and n > 0")
-    # A class is named by 64 bits of its set's digest; doc_id, its smallest, stands for it.
-    classes = written(listed.groupBy(F.col("d1").alias("class")).agg(F.min("doc_id").alias("doc_id")), "classes")
+    bounds = Bounds(percent)
+    worth = bounds.spare(bounds.least("n"))
+    own = index.join(classes.select(F.col("class").alias("row")), "row", "left_semi")
+    posted = own.select(F.col("row").alias("class"), "n", F.posexplode("prefix").alias("pos", "shingle"))
+    shared = written(posted.groupBy("shingle").agg(F.count("*").alias("k")).filter("k > 1").select("shingle"), "shared")
+    # A filter of bounded size keeps most shingles that no other class has from the shuffle; the join decides.
+    bits = filter_bits(shared.count())
+    place = lambda: F.pmod(F.col("shingle"), F.lit(bits))
+    places = written(bitmaps(shared.select(place().alias("at"))), "shared-places")
+    kept = hit(posted, places, place(), "again").filter("again").drop("again").join(shared, "shingle", "left_semi")
+    bit = F.expr("shiftleft(1L, cast(shingle & 63 as int))")
+    signs = [F.bit_or(F.when(F.expr(f"pmod(shiftright(shingle, 6), {WORDS}) = {w}"), bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)]
+    held = kept.groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "shingle"))).alias("found"), F.count("*").cast("int").alias("held"), *signs).filter(F.expr(f"held >= {worth}"))
     # A block for each shingle and size class: sizes of partners lie in the same or the next one.
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    own = listed.withColumnRenamed("d1", "class").join(classes, ["class", "doc_id"], "left_semi")
-    posted = own.select("class", "n", block.alias("block"), F.posexplode("prefix").alias("pos", "shingle"))
-    least = f"(({percent}L * {{0}} + 99) div 100)"
-    extra = f"least({least}, 1 + {{0}} * {100 - percent} div 200)"
-    worth = extra.format(least.format("n"))
-    shared = written(posted.groupBy("shingle").agg(F.count("*").alias("k")).filter("k > 1").select("shingle"), "shared")
-    words = [f"s{k}" for k in range(WORDS)]
-    signs = written(own.select("class", *[F.col("sig")[k].alias(w) for k, w in enumerate(words)]).dropDuplicates(["class"]), "signs")
-    lists = posted.join(shared, "shingle", "left_semi").dropDuplicates(["shingle", "class"])
-    # A class stays if as many of its shingles occur elsewhere as it must share with the smallest partner; it has one row here for each.
-    held = lists.groupBy("class", "n", "block").agg(F.collect_list(F.struct("pos", "shingle")).alias("held")).filter(F.expr(f"size(held) >= {worth}"))
-    lists = written(held.join(signs, "class").select("class", "n", "block", *words, F.inline("held")), "lists")
-    carried = ["class", "n", "pos", *words]
-
-    # What a pair must share, by its sizes n; what it shares at most, by positions, and by signatures of the prefixes.
-    need = f"(({percent}L * (n1 + n2) + {100 + percent - 1}L) div {100 + percent}L)"
-    left_out = f"({least} - {extra})"
-    beyond = f"greatest({left_out.format('n1')}, {left_out.format('n2')})"
-    lacks = {k: " + ".join(f"bit_count({w}{k} & ~{w}{3 - k})" for w in words) for k in (1, 2)}
-    common = "least(" + ", ".join(f"n{k} - {left_out.format(f'n{k}')} - ({lacks[k]})" for k in (1, 2)) + ")"
-    fits = f"100L * least(n1, n2) >= {percent}L * greatest(n1, n2) and least(pos1, pos2) + least(n1 - pos1, n2 - pos2) >= {need} and {common} + {beyond} >= {need}"
-
-    # Answers taken over from a leader: the class of a block with the shingle nearest the front.
-    heads = lists.groupBy("shingle", "block").agg(F.min(F.struct("pos", "class", "n", *words)).alias("head"))
-    heads = heads.select("shingle", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), *[F.col(f"head.{c}").alias(f"{c}1") for c in carried])
-    led = written(heads, "heads").join(lists.select("shingle", "block", *[F.col(c).alias(f"{c}2") for c in carried]), ["shingle", "block"]).filter(F.expr(f"class1 <> class2 and {fits}"))
-    chosen = written(led.groupBy(F.col("class2").alias("a")).agg(F.min(F.struct("pos1", F.col("class1").alias("b"))).alias("to")).select("a", "to.b"), "chosen")
-    found = written(verified(chosen, docs, classes, width, percent), "found")
-    place = _placed(classes, found)
-
-    # The rest: pairs of classes in different components. Lists of one component are dropped whole.
-    at = lists.join(place.withColumnRenamed("node", "class"), "class")
-    span = at.groupBy("shingle").agg(F.min("component").alias("c_least"), F.max("component").alias("c_most")).filter("c_least < c_most").select("shingle")
+    first = F.expr(f"slice(found.shingle, 1, cast(held - {worth} + 1 as int))")
+    out = written(held.select("class", "n", "held", block.alias("block"), *[f"w{w}" for w in range(WORDS)], F.posexplode(first).alias("rank", "shingle")), "lists")
+    dropped(shared, places)
+    return out
+
+
+def links_of(docs: DataFrame, index: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) of classes: links that reach all that the links of all classes reach."""
+    bounds, words = Bounds(percent), [f"w{w}" for w in range(WORDS)]
+    lists = lists_of(index, classes, percent)
+    carried = ["class", "n", "held", "rank", *words]
+
+    def side(df: DataFrame, k: int, *more: str) -> list[Column]:
+        return [F.col(c).alias(f"{c}_{k}" if c in words else f"{c}{k}") for c in (*carried, *more)]
+
+    # Answers taken over from a leader: of the classes with the shingle nearest the front of its blocks, the one that leads most.
+    heads = lists.groupBy("shingle", "block").agg(F.min(F.struct("rank", "class", "n", "held", *words)).alias("head"))
+    heads = written(heads.select("shingle", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), *[F.col(f"head.{c}").alias(f"{c}_1" if c in words else f"{c}1") for c in carried]), "heads")
+    led = heads.join(lists.select("shingle", "block", *side(lists, 2)), ["shingle", "block"]).filter(F.expr(f"class1 <> class2 and {bounds.fits()}"))
+    led = written(led.select(F.col("class2").alias("a"), F.col("class1").alias("b")).distinct(), "led")
+    fame = written(led.groupBy("b").agg(F.count("*").alias("fame")), "fame")
+    chosen = led.join(fame, "b").groupBy("a").agg(F.max(F.struct("fame", (-F.col("b")).alias("b"))).alias("to")).select("a", (-F.col("to.b")).alias("b"))
+    apart = F.expr(f"if(n1 + n2 - 2L * both <= {FAR}L * (n1 + n2 - 2L * {bounds.need}), array_union(array_except(items1, items2), array_except(items2, items1)), null)")
+    answers = compared(chosen, docs, classes, width, apart.alias("diff"))
+    near = centred(answers.filter("diff is not null").select(F.col("b").alias("leader"), F.col("a").alias("class"), F.col("n1").alias("n"), "diff"), percent)
+    found = answers.filter(bounds.linked).select("a", "b").unionByName(certain(near))
+    place = written(components(found), "place")
+    found = found.unionByName(inside(near, place, percent))
+    dropped(heads, led, fame)
+
+    # The rest: pairs of classes in different components and under different leaders. Lists of one component are dropped whole.
+    at = lists.join(place.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    at = written(at.join(near.select("class", "leader"), "class", "left"), "placed")
+    span = at.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("shingle")
     rest = written(at.join(written(span, "mixed"), "shingle", "left_semi"), "rest")
-    one, two = (rest.select("shingle", "block", *[F.col(c).alias(f"{c}{k}") for c in (*carried, "component")]) for k in (1, 2))
+    dropped(lists, at)
+    one, two = (rest.select("shingle", "block", *side(rest, k, "component", "leader")) for k in (1, 2))
     one = one.withColumnRenamed("block", "at").withColumn("block", F.explode(F.array(F.col("at"), F.col("at") + 1)))
-    apart = F.expr(f"component1 <> component2 and (at < block or class1 < class2) and {fits}")
-    rows = one.join(two, ["shingle", "block"]).filter(apart).select(F.least("class1", "class2").alias("a"), F.greatest("class1", "class2").alias("b"), "n1", "n2")
-    # A pair has a row here for each shingle that both prefixes hold.
-    pairs = rows.groupBy("a", "b").agg(F.count("*").alias("k"), F.min(F.expr(f"{need} - {beyond}")).alias("least_k")).filter("k >= least_k").select("a", "b")
+    apart = "component1 <> component2 and not coalesce(leader1 = leader2, false) and (at < block or class1 < class2)"
+    rows = one.join(two, ["shingle", "block"]).filter(F.expr(f"{apart} and {bounds.fits()}"))
+    rows = written(rows.select(F.least("class1", "class2").alias("a"), F.greatest("class1", "class2").alias("b")), "rows")
+    dropped(rest)
     # Pairs that the leaders have refuted already need no second look.
-    refuted = chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    found = written(found.unionByName(verified(pairs.join(refuted, ["a", "b"], "left_anti"), docs, classes, width, percent)), "found")
-    place = _placed(classes, found)
-    named = place.withColumnRenamed("node", "class").join(classes, "class")
-    labels = written(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "labels")
+    refuted = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    late = compared(rows.distinct().join(refuted, ["a", "b"], "left_anti"), docs, classes, width)
+    dropped(rows)
+    return found.unionByName(late.filter(bounds.linked).select("a", "b"))
+
+
+def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(row, doc_id, copy, n, first) of every row of docs (doc_id, text), as a table: first is (doc_id is null, doc_id, row) of the first row of its component, null for a row without words."""
+    index = written(indexed(docs, frequency(docs, width), width, percent), "index")
+    # A class of equal sets is named by the row of its smallest doc_id.
+    firsts = index.filter("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    classes = written(firsts.select("digest", F.col("first.row").alias("class"), "first.doc_id", "first"), "classes")
+    place = written(components(links_of(docs, index, classes.drop("first"), width, percent)), "place")
+    named = classes.join(place.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    labels = written(named.groupBy("component").agg(F.min("first").alias("first")), "labels")
     # Written, so that the last join shuffles both sides and Spark can split a class with very many copies.
-    named = written(named.join(labels, "component").select(F.col("class").alias("d1"), "component_id"), "named")
-    known = index.filter("doc_id is not null and n > 0").select("doc_id", "n", "d1").join(named, "d1", "left").select("doc_id", "n", "component_id")
-    alone = index.filter("doc_id is null or n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return known.unionByName(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    named = written(named.drop("first").join(labels, "component").select("digest", "first"), "named")
+    slim = index.drop("prefix")
+    known = slim.filter("n > 0").join(named, "digest", "left").drop("digest")
+    out = written(known.unionByName(slim.filter("n = 0").drop("digest").withColumn("first", F.lit(None).cast(named.schema["first"].dataType))), "grouped")
+    dropped(index, classes, place, labels, named)
+    return out
 
 
-def _placed(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component) of every class."""
-    ends = components(links).withColumnRenamed("node", "class")
-    return written(classes.select("class").join(ends, "class", "left").select(F.col("class").alias("node"), F.coalesce("component", "class").alias("component")), "place")
+def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id.
+
+    Two documents link when the Jaccard similarity of their shingle sets is at least percent / 100; the
+    component is the smallest doc_id reachable by links, the document's own included. Null and empty texts
+    and texts without words have no shingles and link with nothing. Rows that repeat an id with other texts
+    are documents of their own under one id; rows with a null id link as others do, and a component of null
+    ids alone is null. Other columns are ignored; an empty table gives an empty result.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return grouped(docs, width, percent).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs, all columns, with the row of the smallest doc_id of each component alone; rows of null ids stay."""
-    groups = written(near_components(docs, width, percent), "components")
-    gone = written(groups.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    # Texts that a filter of the ids that go, of bounded size, does not hit pass without a shuffle.
-    bits = filter_bits(gone.count())
-    at = F.pmod(F.xxhash64(F.col("id")), F.lit(bits))
-    places = written(bitmaps(gone.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("at"))), "places")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row"), F.col("doc_id").cast("long").alias("id"))
-    seen = hit(rows, places, at, "maybe_gone")
-    stays = seen.filter("maybe_gone").join(gone.hint("merge"), F.col("id") == F.col("doc_id"), "left_anti")
-    return seen.filter("not maybe_gone").select("whole_row.*").unionByName(stays.select("whole_row.*"))
+    """docs, all columns, with one row of each component: that of the smallest doc_id, null ids last.
+
+    Rows are told apart by id and text, not by id alone; of rows that agree in both one stays. Null and
+    empty texts and texts without words are like nothing and all stay. An empty table stays empty; other columns,
+    whatever their names, pass through; a text of any length is read whole.
+    """
+    name = lambda id, copy: F.xxhash64(id, copy)
+    groups = grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, percent).filter("n > 0")
+    many = written(groups.groupBy(F.col("first.row").alias("lead")).agg(F.count("*").alias("size")).filter("size > 1").select("lead"), "many")
+    some = groups.withColumn("lead", F.col("first.row")).join(many, "lead", "left_semi")
+    members = written(some.groupBy("doc_id", "copy").agg(F.bool_or(F.col("row") == F.col("lead")).alias("stays")).withColumnRenamed("doc_id", "id2").withColumnRenamed("copy", "copy2"), "members")
+    # Rows that a filter of those in groups, of bounded size, does not hit pass without a shuffle.
+    bits = filter_bits(members.count())
+    places = written(bitmaps(members.select(F.pmod(name(F.col("id2"), F.col("copy2")), F.lit(bits)).alias("at"))), "places")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row"), F.col("doc_id").cast("long").alias("id"), copy_of(F.col("text")).alias("copy"))
+    seen = hit(rows, places, F.pmod(name(F.col("id"), F.col("copy")), F.lit(bits)), "maybe")
+    known = seen.filter("maybe").join(members.hint("merge"), F.col("id").eqNullSafe(F.col("id2")) & (F.col("copy") == F.col("copy2")), "left")
+    out = known.filter("stays").dropDuplicates(["id", "copy"]).unionByName(known.filter("stays is null"))
+    return seen.filter("not maybe").select("whole_row.*").unionByName(out.select("whole_row.*"))

@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from shelfmark.llm import byte_bpe, dac, dedup, html_text, lines, mixing, near, oracle, pii, quality, queries, topk
+from shelfmark.llm import byte_bpe, dac, dedup, html_text, leaders, lines, mixing, near, oracle, pii, quality, queries, topk
 from shelfmark.llm.common import table
 from shelfmark.llm.components import components
 
@@ -269,6 +269,67 @@ def test_near_components(spark, width, percent):
     assert got == brute_near(texts, width, percent)
 
 
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
+def test_near_components_of_a_large_group(spark, width, percent):
+    """Copies with changes of their own, many too far from one another to link, and one set with very many copies."""
+    draw, texts = random.Random(7 * width), {}
+    base = [f"w{draw.randrange(900)}" for _ in range(130)]
+    for i in range(160):
+        copy = list(base)
+        for _ in range(draw.randrange(1, 9)):
+            at = draw.randrange(len(copy))
+            copy[at : at + draw.randrange(2)] = [f"own{i}x{draw.randrange(9)}" if draw.random() < 0.7 else draw.choice(base)] * draw.randrange(1, 3)
+        texts[3 * i + 1] = " ".join(copy)
+    want = brute_near(texts, width, percent)
+    copies = {10_000 + i: texts[1] for i in range(3000)}
+    df = spark.createDataFrame(list((texts | copies).items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.near_components(df, width, percent).collect()}
+    assert got == want | dict.fromkeys(copies, want[1])
+    assert 1 < len({c for _, c in want.values()}) < len(texts)
+
+
+def test_differences_from_a_centre_decide_as_whole_sets_do(spark):
+    draw, percent = random.Random(8), 80
+    base = set(range(100))
+    sets = {i: (base - set(draw.sample(range(100), draw.randrange(14)))) | {draw.randrange(1000, 1060) for _ in range(draw.randrange(14))} for i in range(120)}
+    led = [(0, i, len(s), sorted(s ^ sets[0])) for i, s in sets.items() if i]
+    rows = leaders.centred(spark.createDataFrame(led, "leader long, class long, n int, diff array<long>"), percent)
+    sure = {tuple(r) for r in leaders.certain(rows).collect()}
+    like = lambda a, b: 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+    assert sure and all(like(a, b) for a, b in sure)
+    got = {tuple(sorted(r)) for r in leaders.inside(rows, spark.createDataFrame([], "node long, component long"), percent).collect()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def joined(links):
+        for i in sets:
+            root[i] = i
+        for a, b in links:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+        return [find(i) for i in sets]
+
+    assert all(like(a, b) for a, b in got)
+    assert joined(sure | got) == joined({(a, b) for a in sets for b in sets if 0 < a < b and like(a, b)})
+
+
+def test_near_copies_go_by_row(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, long), (2, long + " end"), (2, "something quite unlike the first of them all"), (None, long + " other"), (None, "a null id of its own that stays"), (3, ""), (3, ""), (4, None), (5, "Twice the same here"), (5, "Twice the same here"), (6, "y" * 50_000 + " tail")]
+    df = spark.createDataFrame([(i, t, "clash", "clash") for i, t in rows], "doc_id long, text string, digest string, row string")
+    kept = near.drop_near_copies(df)
+    assert kept.columns == df.columns
+    want = [rows[0], rows[2], *rows[4:9], rows[10]]
+    assert sorted(map(str, kept.select("doc_id", "text").collect())) == sorted(map(str, spark.createDataFrame(want, "doc_id long, text string").collect()))
+    got = [r["component_id"] for r in near.near_components(df.filter("doc_id is null"), 5, 80).collect()]
+    assert got == [None, None]
+    assert near.drop_near_copies(df.limit(0)).collect() == []
+
+
 # Lines
 
 
