@@ -21,7 +21,7 @@ documents in CELLS cells; it has an effect on speed alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -252,24 +252,23 @@ class Bounds:
         """spare in SQL."""
         return f"least({self.least(n)}, 1 + {n} * {100 - self.percent} div 200)"
 
-    def fits(self) -> str:
-        """Whether two postings may be the first shingle that two linked sets share: after it, either list must still hold enough, and the signatures must not show too many that the other lacks."""
-        lacks = {k: " + ".join(f"bit_count(w{w}_{k} & ~w{w}_{3 - k})" for w in range(WORDS)) for k in (1, 2)}
+    def fits(self, words: Sequence[str] = ()) -> str:
+        """Whether two postings may be the first shingle that two linked sets share: from it on, either list must still hold enough, and the signatures, if given, must not show too many that the other lacks."""
+        lacks = {k: " + ".join(f"bit_count({w}_{k} & ~{w}_{3 - k})" for w in words) or "0" for k in (1, 2)}
         room = "least(" + ", ".join(f"held{k} - greatest(rank{k}, {lacks[k]})" for k in (1, 2)) + ")"
         return f"{self.sizes} and {room} >= {self.share}"
 
 
-def lists_of(index: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The index lists: (shingle, block, class, n, held, rank, w0, ...) for the shingles of the prefixes that other classes' prefixes hold.
+def lists_of(own: DataFrame, percent: int) -> DataFrame:
+    """The index lists by class: (class, n, held, block, w0, ..., shingles) from (class, n, prefix).
 
-    held is how many such shingles a class has, rank the number of those before this one. Linked sets
-    have many of them in common, worth at least; so a class with fewer leaves the index, and of the others the
-    last worth - 1 shingles need no place in it.
+    held is how many shingles of a class's prefix other prefixes hold too. Linked sets have many of those in
+    common, worth at least; so a class with fewer leaves the index, and of the others the last worth - 1
+    shingles need no place in it. shingles are the rest, in index order.
     """
     bounds = Bounds(percent)
     worth = bounds.spare(bounds.least("n"))
-    own = index.join(classes.select(F.col("class").alias("row")), "row", "left_semi")
-    posted = own.select(F.col("row").alias("class"), "n", F.posexplode("prefix").alias("pos", "shingle"))
+    posted = own.select("class", "n", F.posexplode("prefix").alias("pos", "shingle"))
     shared = written(posted.groupBy("shingle").agg(F.count("*").alias("k")).filter("k > 1").select("shingle"), "shared")
     # A filter of bounded size keeps most shingles that no other class has from the shuffle; the join decides.
     bits = filter_bits(shared.count())
@@ -281,46 +280,45 @@ def lists_of(index: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     held = kept.groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "shingle"))).alias("found"), F.count("*").cast("int").alias("held"), *signs).filter(F.expr(f"held >= {worth}"))
     # A block for each shingle and size class: sizes of partners lie in the same or the next one.
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    first = F.expr(f"slice(found.shingle, 1, cast(held - {worth} + 1 as int))")
-    out = written(held.select("class", "n", "held", block.alias("block"), *[f"w{w}" for w in range(WORDS)], F.posexplode(first).alias("rank", "shingle")), "lists")
+    first = F.expr(f"slice(found.shingle, 1, cast(held - {worth} + 1 as int))").alias("shingles")
+    out = written(held.select("class", "n", "held", block.alias("block"), *[f"w{w}" for w in range(WORDS)], first), "lists")
     dropped(shared, places)
     return out
 
 
-def links_of(docs: DataFrame, index: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+def links_of(docs: DataFrame, own: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b) of classes: links that reach all that the links of all classes reach."""
     bounds, words = Bounds(percent), [f"w{w}" for w in range(WORDS)]
-    lists = lists_of(index, classes, percent)
-    carried = ["class", "n", "held", "rank", *words]
-
-    def side(df: DataFrame, k: int, *more: str) -> list[Column]:
-        return [F.col(c).alias(f"{c}_{k}" if c in words else f"{c}{k}") for c in (*carried, *more)]
-
-    # Answers taken over from a leader: of the classes with the shingle nearest the front of its blocks, the one that leads most.
-    heads = lists.groupBy("shingle", "block").agg(F.min(F.struct("rank", "class", "n", "held", *words)).alias("head"))
-    heads = written(heads.select("shingle", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), *[F.col(f"head.{c}").alias(f"{c}_1" if c in words else f"{c}1") for c in carried]), "heads")
-    led = heads.join(lists.select("shingle", "block", *side(lists, 2)), ["shingle", "block"]).filter(F.expr(f"class1 <> class2 and {bounds.fits()}"))
+    lists = lists_of(own, percent)
+    place_in = F.posexplode("shingles").alias("rank", "shingle")
+
+    # Answers taken over from a leader: of the classes with the shingle nearest the front of its lists, the one that leads most.
+    posted = lists.select("class", "n", "held", place_in)
+    heads = posted.groupBy("shingle").agg(F.min(F.struct("rank", "class", "n", "held")).alias("head"), F.count("*").alias("k")).filter("k > 1")
+    heads = written(heads.select("shingle", *[F.col(f"head.{c}").alias(f"{c}1") for c in ("class", "n", "held", "rank")]), "heads")
+    led = heads.join(posted.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("class", "n", "held", "rank")]), "shingle").filter(F.expr(f"class1 <> class2 and {bounds.fits()}"))
     led = written(led.select(F.col("class2").alias("a"), F.col("class1").alias("b")).distinct(), "led")
     fame = written(led.groupBy("b").agg(F.count("*").alias("fame")), "fame")
     chosen = led.join(fame, "b").groupBy("a").agg(F.max(F.struct("fame", (-F.col("b")).alias("b"))).alias("to")).select("a", (-F.col("to.b")).alias("b"))
     apart = F.expr(f"if(n1 + n2 - 2L * both <= {FAR}L * (n1 + n2 - 2L * {bounds.need}), array_union(array_except(items1, items2), array_except(items2, items1)), null)")
     answers = compared(chosen, docs, classes, width, apart.alias("diff"))
+    dropped(heads, led, fame)
     near = centred(answers.filter("diff is not null").select(F.col("b").alias("leader"), F.col("a").alias("class"), F.col("n1").alias("n"), "diff"), percent)
     found = answers.filter(bounds.linked).select("a", "b").unionByName(certain(near))
     place = written(components(found), "place")
     found = found.unionByName(inside(near, place, percent))
-    dropped(heads, led, fame)
 
     # The rest: pairs of classes in different components and under different leaders. Lists of one component are dropped whole.
-    at = lists.join(place.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    at = written(at.join(near.select("class", "leader"), "class", "left"), "placed")
-    span = at.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("shingle")
-    rest = written(at.join(written(span, "mixed"), "shingle", "left_semi"), "rest")
-    dropped(lists, at)
-    one, two = (rest.select("shingle", "block", *side(rest, k, "component", "leader")) for k in (1, 2))
+    known = written(place.withColumnRenamed("node", "class").join(near.select("class", "leader"), "class", "full"), "known")
+    at = written(lists.join(known, "class", "left").withColumn("component", F.coalesce("component", "class")), "placed")
+    posted = at.select("class", "n", "held", "block", *words, "component", "leader", place_in)
+    mixed = posted.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("shingle")
+    rest = written(posted.join(written(mixed, "mixed"), "shingle", "left_semi"), "rest")
+    dropped(lists, at, known)
+    one, two = (rest.select("shingle", "block", *[F.col(c).alias(f"{c}_{k}" if c in words else f"{c}{k}") for c in ("class", "n", "held", "rank", *words, "component", "leader")]) for k in (1, 2))
     one = one.withColumnRenamed("block", "at").withColumn("block", F.explode(F.array(F.col("at"), F.col("at") + 1)))
     apart = "component1 <> component2 and not coalesce(leader1 = leader2, false) and (at < block or class1 < class2)"
-    rows = one.join(two, ["shingle", "block"]).filter(F.expr(f"{apart} and {bounds.fits()}"))
+    rows = one.join(two, ["shingle", "block"]).filter(F.expr(f"{apart} and {bounds.fits(words)}"))
     rows = written(rows.select(F.least("class1", "class2").alias("a"), F.greatest("class1", "class2").alias("b")), "rows")
     dropped(rest)
     # Pairs that the leaders have refuted already need no second look.
@@ -330,13 +328,27 @@ def links_of(docs: DataFrame, index: DataFrame, classes: DataFrame, width: int,
     return found.unionByName(late.filter(bounds.linked).select("a", "b"))
 
 
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """rows whose key is not among those of gone. Rows that a filter of these, of bounded size, does not hit pass without a shuffle."""
+    bits = filter_bits(gone.count())
+    at = lambda: F.pmod(F.xxhash64(key), F.lit(bits))
+    seen = hit(rows, written(bitmaps(gone.select(at().alias("at"))), "places"), at(), "maybe")
+    stays = seen.filter("maybe").join(gone.select(F.col(key).alias("gone_key")).hint("merge"), F.col(key) == F.col("gone_key"), "left_anti")
+    return seen.filter("not maybe").drop("maybe").unionByName(stays.drop("maybe"))
+
+
 def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(row, doc_id, copy, n, first) of every row of docs (doc_id, text), as a table: first is (doc_id is null, doc_id, row) of the first row of its component, null for a row without words."""
     index = written(indexed(docs, frequency(docs, width), width, percent), "index")
     # A class of equal sets is named by the row of its smallest doc_id.
-    firsts = index.filter("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
-    classes = written(firsts.select("digest", F.col("first.row").alias("class"), "first.doc_id", "first"), "classes")
-    place = written(components(links_of(docs, index, classes.drop("first"), width, percent)), "place")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    firsts = index.filter("n > 0").groupBy("digest").agg(first, F.count("*").alias("size"))
+    classes = written(firsts.select("digest", F.col("first.row").alias("class"), "first.doc_id", "first", "size"), "classes")
+    again = classes.filter("size > 1").select("digest", "class")
+    copies = written(index.select("row", "digest").join(again, "digest").filter("row <> class").select("row"), "copies")
+    own = without(index.filter("n > 0").select("row", "n", "prefix"), copies, "row").withColumnRenamed("row", "class")
+    classes = classes.drop("size")
+    place = written(components(links_of(docs, own, classes.drop("first"), width, percent)), "place")
     named = classes.join(place.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     labels = written(named.groupBy("component").agg(F.min("first").alias("first")), "labels")
     # Written, so that the last join shuffles both sides and Spark can split a class with very many copies.
@@ -344,7 +356,7 @@ def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     slim = index.drop("prefix")
     known = slim.filter("n > 0").join(named, "digest", "left").drop("digest")
     out = written(known.unionByName(slim.filter("n = 0").drop("digest").withColumn("first", F.lit(None).cast(named.schema["first"].dataType))), "grouped")
-    dropped(index, classes, place, labels, named)
+    dropped(index, copies, place, labels, named)
     return out
 
 
