@@ -458,6 +458,56 @@ def test_main_text():
     assert html_text.main_text("<p>a < b <3 &amp;amp; </ p>x") .startswith("a < b")
 
 
+ARTICLE = "<p>" + " ".join(f"w{i}" for i in range(40)) + "</p><p>" + " ".join(f"v{i}" for i in range(22)) + "</p>"
+LAYOUTS = [
+    '<div class="layout has-sidebar"><article>{}</article></div>', '<div class="no-sidebar">{}</div>', '<div class="no-sidebar"><article>{}</article></div>', '<div class="social-science">{}</div>', '<article><div class="social-science">{}</div></article>',
+    '<div class="related-work"><article>{}</article></div>', '<article><section class="related-work">{}</section></article>', '<div id="search-results-page">{}</div>', '<form id="aspnetForm"><nav><a href=x>a b</a></nav>{}<footer>c</footer></form>',
+    '<main><div class="entry-content comments-open">{}</div></main>', '<div class="page sidebar-left"><main>{}</main></div>', '<div class="comments"><article class="comment"><p>I think so too, said a reader.</p></article></div><article>{}</article>',
+    '<main>{}<form><label>Name</label><p>Leave your address for the weekly letter.</p></form></main>', '<header class="page-header"><h1>The site</h1><p>Tag line</p></header><div>{}</div>', '<div class="cookie-banner"><p>We use cookies to make this site better for all.</p></div><div role="main">{}</div>',
+]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_names_round_the_article_do_not_empty_the_page(layout):
+    want = ARTICLE[3:-4].replace("</p><p>", " ")
+    page = layout.format(ARTICLE)
+    assert html_text.main_text(page) == want
+    around = f'<html><body><header><h1>Site</h1></header><nav><ul><li><a href=1>Home</a><li><a href=2>News</a></ul></nav>{page}<div class="comments"><p>{"words of a reader " * 25}</p></div><footer>foot</footer></body></html>'
+    assert html_text.main_text(around) == want
+
+
+@pytest.mark.parametrize(("left", "least"), [(list(range(7, 10)), 0.95), (list(range(7, 12)), 0.7)])
+def test_a_tree_without_names_still_classifies(spark, sf, left, least):
+    """Trees grown without what tags and names tell, and without the main element too; words, links and neighbours do the rest."""
+    x, y = html_text.labelled()
+    x[:, left] = 0
+    tree = html_text.grow(x, y)
+    assert (html_text.classified(x, tree) == (y > 0)).mean() > 0.85
+    right = total = 0
+    for r in table(spark, sf, "pages").collect():
+        found = html_text.blocks(r["html"])
+        v = html_text.vectors(found)
+        v[:, left] = 0
+        right += (html_text.classified(v, tree) == [b.main for b in found]).sum()
+        total += len(found)
+    assert right > least * total
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    began, n = time.time(), 100_000
+    assert html_text.main_text("<div>" * n + "hello there " * 9 + "</div>" * n) == ("hello there " * 9).strip()
+    html_text.main_text("<p><table>" + "<div class=ad>" * n + "x" + "</p>" * n)
+    assert time.time() - began < 4
+
+
+def test_pages_of_any_kind(spark):
+    rows = [(1, "u", PAGE, "clash"), (1, "u", PAGE, "clash"), (None, None, None, "clash"), (2, "v", "", "clash"), (3, None, "<article>" + "<p>long text " * 60_000, "clash")]
+    got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == sorted((i or 0, len(html_text.main_text(h))) for i, _, h, _ in rows)
+
+
 def test_pages_query(spark, sf):
     pages = {r["page_id"]: r for r in table(spark, sf, "pages").collect()}
     for r in queries.op1_main_text(spark, sf).collect():
