@@ -41,11 +41,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors. options are the writer's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/shelfmark/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shelfmark_path = path
     return out
