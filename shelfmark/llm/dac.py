@@ -8,6 +8,7 @@ before it. A shard file holds whole documents: a directory of documents and the
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -144,10 +145,22 @@ def byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+#: How the vocabularies that Words takes apart normalise and split, fixed by the file; others go through the library whole.
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class Words(dict):
     """Packed ids by part of a text. Texts are cut where the vocabulary's splitter always cuts: at spaces, line
     feeds and, in Latin-1, between the PARTS. A part of letters alone goes straight to the vocabulary's merges.
-    Added tokens in a text are found as the library finds them.
+    Added tokens in a text are found as the library finds them. A vocabulary that normalises or splits otherwise
+    gets every text whole.
     """
 
     def __init__(self, vocabulary: str):
@@ -160,6 +173,8 @@ class Words(dict):
         self.tokenizer = Tokenizer.from_file(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
         # Texts that may hold an added token are encoded whole: by its first two signs, as normalising may change case.
         self.marks = {t.content[:2].lower() for t in self.tokenizer.get_added_tokens_decoder().values()}
+        made = json.loads(self.tokenizer.to_str())
+        self.known = made["normalizer"] == NORMALISER and made["pre_tokenizer"] == SPLITTER and made["model"]["type"] == "BPE"
         self.merge, self.signs = self.tokenizer.model.tokenize, byte_signs()
 
     def __missing__(self, part: str) -> bytes:
@@ -177,7 +192,7 @@ class Words(dict):
         if len(self) > MEMORY:
             self.clear()
         lower = text.lower()
-        if any(m in lower for m in self.marks):
+        if not self.known or any(m in lower for m in self.marks):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         try:
             text.encode("latin-1")
@@ -203,9 +218,12 @@ def write_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Return the written table, one row a shard file: part and seq (their order is the order of documents),
     first (ids of the part before the shard), n_docs, n_tokens, shard (the file's bytes). Texts that are null
     or empty hold end_id alone; null ids come first; repeated rows are written as often as they come, equal
-    ids in the order of their texts; an empty table gives no shard; other columns are ignored.
+    ids in the order of the first signs of their texts, then of a hash, so that an id on very many rows is
+    split; an empty table gives no shard; other columns are ignored. The bytes of a shard stand in the table
+    as they are, neither compressed nor coded.
     """
-    ordered = docs.select(id_col, text_col).repartitionByRange(F.col(id_col)).sortWithinPartitions(id_col, text_col)
+    order = [F.col(id_col), F.substring(text_col, 1, 64), F.xxhash64(text_col)]
+    ordered = docs.select(id_col, text_col).repartitionByRange(*order).sortWithinPartitions(*order, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, part = words(vocabulary).encode, np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
@@ -228,7 +246,12 @@ def write_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if ids:
             yield shard()
 
-    return written(arrow_map(ordered, run, "part int, seq int, first long, n_docs long, n_tokens long, shard binary"), "shards")
+    return written(arrow_map(ordered, run, "part int, seq int, first long, n_docs long, n_tokens long, shard binary"), "shards", compression="uncompressed", **{"parquet.enable.dictionary": "false"})
+
+
+def one_shard(shards: DataFrame, part: int, seq: int) -> Shard:
+    """One shard of a written table; its codes give any id by its place, through the rank directories alone."""
+    return Shard(shards.filter((F.col("part") == part) & (F.col("seq") == seq)).select("shard").first()[0])
 
 
 def read_documents(shards: DataFrame) -> DataFrame:

@@ -90,7 +90,8 @@ def drop_exact_copies(docs: DataFrame, most_bits: int = BITS) -> DataFrame:
     """docs, all columns, without the rows that exact_groups does not keep.
 
     The dropped rows alone are looked up: rows whose text cannot repeat pass without a shuffle. Rows that
-    agree in doc_id and text are copies too; one stays.
+    agree in doc_id and text are copies too; one stays. Null, empty and blank texts are equal, so one of them stays;
+    null ids come last among equals. An empty table stays empty; other columns, whatever their names, pass through.
     """
     columns = docs.columns
     key = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("kept_row"), F.col("doc_id"), F.col("text"))

@@ -75,7 +75,12 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """docs, all columns, each row as many times as the mix takes it."""
+    """docs, all columns, each row as many times as the mix takes it.
+
+    Null is a source of its own; a source without words gives nothing. Texts that are null, empty or without words are
+    drawn as others of their source are; rows that repeat an id, null ids among them, get the same draw. An empty
+    table stays empty; other columns, whatever their names, pass through; texts of any length count whole.
+    """
     columns = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("whole_row"), "doc_id", "source", "text")
     sizes = docs.select("source", word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))

@@ -109,18 +109,19 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Ranking:
-    """Fit on the labelled documents that are not held out, max_train at most. Null ids and labels take no part."""
-    known = labels.select(F.col("doc_id").alias("of"), F.col("quality").cast("int").alias("y")).filter(F.col("of").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("of")))
+    """Fit on the labelled documents that are not held out, max_train at most. Null ids and labels take no part; an id on several rows gives one, that of the least features."""
+    known = labels.select(F.col("doc_id").cast("long").alias("of"), F.col("quality").cast("int").alias("y")).filter(F.col("of").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("of"))).distinct()
     some = known.orderBy(F.xxhash64("of"), "of", "y").limit(max_train)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("of")).select("text", "y")  # max_train rows of two numbers
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("of")).select("of", "y", "text")  # max_train rows of two numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([features(t).tobytes() for t in part.column(0).to_pylist()], pa.binary())], names=["y", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([features(t).tobytes() for t in part.column(2).to_pylist()], pa.binary())], names=["of", "y", "x"])
 
-    found = arrow_map(rows, run, "y int, x binary").toArrow()  # max_train rows, unless ids repeat
+    seen = arrow_map(rows, run, "of long, y int, x binary")
+    found = seen.groupBy("of", "y").agg(F.min("x").alias("x")).select("y", "x").toArrow()  # max_train rows at most, however often an id stands in docs
     y = np.array(found.column("y").to_pylist(), np.int64)
     x = np.array([np.frombuffer(b) for b in found.column("x").to_pylist()]).reshape(len(y), len(features("")))
     order = np.lexsort((*x.T[::-1], y))  # the order of rows must not matter
@@ -138,8 +139,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAI
     """One row per row of docs (doc_id, text): doc_id, held_out, score, predicted (1 if score >= 0.5).
 
     Scores hang on the text alone; null counts as empty, and empty texts get the score of a text without
-    words. Null ids are not held out. Without labels of both kinds every score is 0.5. Rows that repeat, in
-    docs or in labels, count each. An empty table gives an empty result; other columns are ignored.
+    words. Null ids are not held out. Without labels of both kinds every score is 0.5. Rows that repeat in
+    docs are scored each; in the fit an id and label count once. An empty table gives an empty result; other columns are ignored.
     """
     score = scorer(train(docs, labels, max_train))
 
@@ -154,7 +155,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAI
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """docs, all columns, without the rows that are predicted 0."""
+    """docs, all columns, without the rows that are predicted 0.
+
+    Null and empty texts count as texts without words and go or stay all alike; so do rows that repeat.
+    Null ids are scored as others; without labels of both kinds all rows stay; an empty table stays empty; other columns,
+    whatever their names, pass through; a text of any length is read whole.
+    """
     score = scorer(train(docs, labels, max_train))
     at_text = docs.columns.index("text")
 

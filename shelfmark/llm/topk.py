@@ -6,25 +6,26 @@ segments, a product is at most the sum over segments of n * mean * mean + spread
 is sqrt(n) times the deviation. That bound is a product of short vectors itself, so it is taken block by
 block, from few segments to many; exact products are computed for the candidates that survive.
 
-Queries go out in blocks of a fixed number of vectors, each block against all rows.
+Queries go out in blocks bounded in vectors and in components, each block against all rows: a table of q queries of d
+components takes q * d / HELD passes, or q / QUERY_BLOCK if those are more.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import arrow_map, written
 
-#: Queries that are held at once (their size is bounded by it), rows of a block of candidates, segments coarse to fine.
-QUERY_BLOCK, ROW_BLOCK, LEVELS = 16_384, 4_096, (4, 16)
+#: Queries that are held at once, rows of a block of candidates, components that either may have at most, segments coarse to fine.
+QUERY_BLOCK, ROW_BLOCK, HELD, LEVELS = 16_384, 4_096, 1 << 21, (4, 16)
 SCALE, K = 64, 20
 #: Share of a block's pairs from which one product of blocks is cheaper than pair by pair; rows that give the first floors.
 MANY, FIRST = 0.03, 256
@@ -120,13 +121,14 @@ class Searcher:
             yield from ((query, -i, s) for s, i in heap)
 
 
-def matrices(ids: list[int], vectors: list[list[int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Vectors by length, each with its ids."""
-    by_size: dict[int, list[int]] = defaultdict(list)
-    for at, v in enumerate(vectors):
-        by_size[len(v)].append(at)
-    for size, at in by_size.items():
-        yield np.array([ids[x] for x in at], np.int64), np.array([vectors[x] for x in at], np.int64).reshape(len(at), size)
+def matrices(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Vectors by length, each with its ids, from Arrow columns without nulls."""
+    ids, sizes = ids.to_numpy(zero_copy_only=False), pa.compute.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    flat, ends = vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        places = (ends[at] - size)[:, None] + np.arange(size)[None, :]
+        yield ids[at].astype(np.int64), flat[places].astype(np.int64).reshape(len(at), size)
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -140,18 +142,21 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col)).alias("v")).filter("vec_id is not null and v is not null")
     asked = written(vectors.filter(queries).select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col)).alias("v")).filter("vec_id is not null and v is not null").groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    # The rows of a block by the longest query, so that a block is bounded in bytes too.
+    longest = asked.agg(F.max(F.size("v"))).first()[0] or 1
+    query_block = max(1, min(query_block, HELD // max(1, longest)))
     found, last = [], None
     while True:
         block = asked.filter(F.col("vec_id") > last) if last is not None else asked
-        taken = block.orderBy("vec_id").limit(query_block).toArrow()  # bounded by query_block
+        taken = block.orderBy("vec_id").limit(query_block).toArrow().combine_chunks()  # bounded by query_block
         if not taken.num_rows:
             break
-        ids, held = taken.column("vec_id").to_pylist(), taken.column("v").to_pylist()
+        ids, held = (taken.column(c).combine_chunks() for c in ("vec_id", "v"))
         shared = spark.sparkContext.broadcast([(i.tobytes(), v.shape, v.tobytes()) for i, v in matrices(ids, held)])
         best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         block = arrow_map(rows, _search(shared, k), "query_id long, vec_id long, score long").withColumn("rank", F.row_number().over(best).cast("int"))
         found.append(block.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
-        last = ids[-1]
+        last = ids[-1].as_py()
         if len(ids) < query_block:
             break
         found[-1] = written(found[-1], "found")
@@ -171,9 +176,10 @@ def _search(shared, k: int):
         for batch in batches:
             for at in range(0, batch.num_rows, ROW_BLOCK):
                 part = batch.slice(at, ROW_BLOCK)
-                for ids, m in matrices(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    if m.shape[1] in searchers:
-                        searchers[m.shape[1]].add(ids, m)
+                for ids, m in matrices(part.column(0), part.column(1)):
+                    step = max(1, HELD // max(1, m.shape[1]))
+                    for lo in range(0, len(ids) if m.shape[1] in searchers else 0, step):
+                        searchers[m.shape[1]].add(ids[lo : lo + step], m[lo : lo + step])
         for s in searchers.values():
             rows = list(s.rows())
             for lo in range(0, len(rows), 50_000):

@@ -124,6 +124,45 @@ def test_shards_close_at_a_bound(spark, edge):
     assert rows[0]["doc_id"] is None and [r["start"] for r in rows] == np.cumsum([0, *(r["n_tokens"] for r in rows[:-1])]).tolist()
 
 
+def test_one_token_is_read_from_storage(spark, sf, docs):
+    shards = dac.write_documents(table(spark, sf, "documents"), shard_ids=20_000)
+    want = [i for k in sorted(docs) for i in plain_ids(docs[k])]
+    rows = shards.select("part", "seq", "first", "n_tokens").orderBy("part", "seq").collect()
+    start = 0
+    for r in rows[:: max(1, len(rows) // 3)]:
+        start = sum(x["n_tokens"] for x in rows[: rows.index(r)])
+        codes = dac.one_shard(shards, r["part"], r["seq"]).codes
+        for at in (0, r["n_tokens"] // 2, r["n_tokens"] - 1):
+            assert codes[at] == want[start + at]
+    import glob
+
+    import pyarrow.parquet as pq
+
+    column = pq.ParquetFile(glob.glob(f"{shards._shelfmark_path.removeprefix('file:')}/*.parquet")[0]).metadata.row_group(0).column(5)
+    assert (column.path_in_schema, column.compression) == ("shard", "UNCOMPRESSED")
+
+
+def test_one_id_on_many_rows_is_split(spark):
+    rows = [(7, f"text number {k % 50} of one id") for k in range(3000)] + [(k, "other") for k in (1, 9)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shards = dac.write_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert shards.select("part").distinct().count() > 2
+    got = sorted(dac.read_documents(shards).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [1, *[7] * 3000, 9]
+
+
+def test_other_vocabularies_go_through_the_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("Upper and lower", "  two  spaces\n", "é漢"):
+        assert np.frombuffer(dac.words("byte_bpe_50k.json").encode(text), "<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids
+
+
 # Quality
 
 
@@ -140,6 +179,31 @@ def test_quality_without_labels(spark, edge):
     assert {(r["score"], r["predicted"]) for r in quality.quality_scores(edge, none).collect()} == {(0.5, 1)}
 
 
+def test_pairwise_ranking_against_plain_steps():
+    """Weights against gradient steps over all pairs, the threshold against every cut."""
+    draws = np.random.default_rng(4)
+    x = draws.normal(size=(60, 3)) * [1, 5, 0.2] + [3, 0, 1]
+    label = ((x - [3, 0, 1]) @ [1.0, -0.3, 2.0] + draws.normal(size=60) > 0).astype(int)
+    model = quality.fit(x, label, pairs=200_000, penalty=1e-3)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    d = (z[label == 1][:, None, :] - z[label == 0][None, :, :]).reshape(-1, 3)
+    w = np.zeros(3)
+    for _ in range(20_000):
+        w += 0.5 * (d.T @ (1 / (1 + np.exp(d @ w))) / len(d) - 1e-3 * w)
+    assert np.allclose(model.weights, w, rtol=0.05, atol=0.02)
+    raw = model.raw(x)
+    wrong = lambda cut: np.mean(raw[label == 0] >= cut) + np.mean(raw[label == 1] < cut)
+    assert wrong(model.threshold) <= min(wrong(c) for c in raw) + 0.02
+    assert ((model.scores(x) >= 0.5) == (raw >= model.threshold)).all()
+
+
+def test_labels_and_ids_that_repeat_fit_once(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    first = quality.train(docs, labels)
+    again = quality.train(docs.unionByName(docs), labels.unionByName(labels))
+    assert np.array_equal(first.weights, again.weights) and first.threshold == again.threshold
+
+
 # Mixing
 
 
