@@ -9,10 +9,37 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Fixed values of the data model: noise signs of a variant key, resolution names by height, status words.
-NOISE = r"(?U)[\s·・•‧∙\-_—–~～|/\\,，.。:：;；!！?？'\"“”‘’()（）\[\]【】「」『』<>《》&+*#@]"
+#: Signs that a variant key leaves out, resolution names by height, how resolutions are written in texts.
+NOISE = r"""(?U)[\s·・･｡。，、,.!！?？:：;；'"“”‘’()（）\[\]【】〔〕/\\|~～\-—_+=*&^%$#@]"""
 HEIGHTS = ((480, "480P"), (720, "720P"), (1080, "1080P"), (1440, "2K"), (2160, "4K"))
-RESOLUTION_WORDS = (("8K", r"(?i)\b(?:8k|4320p)\b"), ("4K", r"(?i)\b(?:4k|uhd|2160p)\b"), ("2K", r"(?i)\b(?:2k|1440p)\b"), ("1080P", r"(?i)\b(?:1080p|fhd|full ?hd)\b"), ("720P", r"(?i)\b720p\b"), ("480P", r"(?i)\b(?:480p|sd)\b"))
+RESOLUTION_WORDS = (
+    ("8K", r"(?U)(?:^|[^\w])(8K|4320[Pp])(?:[^\w]|$)"),
+    ("4K", r"(?iU)(?:^|[^\w])(4K|2160P|UHD)(?:[^\w]|$)"),
+    ("2K", r"(?iU)(?:^|[^\w])(2K|1440P)(?:[^\w]|$)"),
+    ("1080P", r"(?iU)(?:^|[^\w])(1080P|FHD)(?:[^\w]|$)"),
+    ("720P", r"(?iU)(?:^|[^\w])(720P|HD)(?:[^\w]|$)"),
+    ("480P", r"(?iU)(?:^|[^\w])(480P|SD)(?:[^\w]|$)"),
+)
+#: Prefixes of tags that stand for a field, tags of technique, tags and words of the status flag.
+TAG_FIELDS = (
+    ("series", r"系\s*列"),
+    ("studio", r"片商|制作商|制作|メーカー|maker"),
+    ("publisher", r"发行|発売|发行商|publisher"),
+    ("label", r"厂牌|レーベル|label"),
+    ("director", r"导演|監督|director"),
+    ("num", r"番号|品番|code|id"),
+)
+TECH_TAG = (
+    r"(?i)^(?:AVC1|HEVC|H\.?264|H\.?265|XVID|DIVX|MPEG-?[24]|VP9|AV1|10BIT|8BIT|HDR|SDR|DV|DOLBY|\d{3,4}[PI]|\d+K|2K|4K|8K|UHD|FHD|HD|SD|BLURAY|Blu-?ray|WEB-?DL|WEBRIP|HDTV|DVDRIP|BDRIP|REMUX|CAM|TS|ISO"
+    r"|AAC|AC3|DTS|MP3|FLAC|5\.1|7\.1|SUB|CHS|CHT|GB|BIG5|内嵌字幕|外挂字幕|无字幕|字幕|高清|超清|标清|高画质|高画質|60FPS|VR|3D)$"
+)
+STATUS_TAG = r"(?i)^(?:无码|無碼|无修正|無修正|有码|有碼|UNCENSORED|CENSORED|无码破解)$"
+UNCENSORED = ("无码", "無碼", "无修正", "無修正", "UNCENSORED", "无码破解")
+CENSORED = ("有码", "有碼", "CENSORED", "モザイク", "马赛克")
+#: Words that make a name a placeholder.
+PLACEHOLDERS = ("未知", "不明", "未定", "その他", "N/A", "n/a")
+#: Signs at which a text is cut into segments (FN28).
+PUNCTUATION = r"""(?U)[，。、；：！？,.!?;:()\[\]【】「」『』（）"'“”‘’…—\-~～/\\|\s]+"""
 INVISIBLE = "[​-‏⁠﻿­]"
 
 
@@ -83,8 +110,8 @@ def resolution(height: Column, *texts: Column) -> Column:
 
 
 def code_of(*texts: Column) -> Column:
-    """Code of the first text that is or holds one: letters, up to one separator, digits; upper case with '-'."""
-    whole, part = r"^([A-Za-z]{1,8}[-_]?\d{2,5})$", r"\b([A-Za-z]{2,8}[-_]\d{2,5})\b"
+    """Code of the first text that is one or holds one as a word: 1 to 8 letters, at most one - or _, 2 to 5 digits; upper case with '-'."""
+    whole, part = r"^([A-Za-z]{1,8}[-_]?\d{2,5})$", r"(?U)\b([A-Za-z]{1,8}[-_]?\d{2,5})\b"
     found = [F.nullif(F.coalesce(F.nullif(F.regexp_extract(F.trim(t), whole, 1), F.lit("")), F.regexp_extract(t, part, 1)), F.lit("")) for t in texts]
     return F.coalesce(F.upper(F.regexp_replace(F.coalesce(*found), "_", "-")), F.lit(""))
 
@@ -99,14 +126,41 @@ def norm_code(code: Column) -> Column:
     return F.when(plain.rlike(r"^[a-z]+\d+$"), plain).otherwise("")
 
 
+def file_stem(path: Column) -> Column:
+    """The file name of a path without its extension."""
+    return F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "")
+
+
+def code_in(text: Column) -> Column:
+    """Identity of the code that a file name or title is, else holds: letters and 2 to 6 digits, no digit after."""
+    low = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    part = r"([a-z]{2,10})\s*[-_]?\s*(\d{2,6})(?!\d)"
+    whole = norm_code(file_stem(low))
+    return F.when(whole != "", whole).otherwise(F.concat(F.regexp_extract(low, part, 1), F.regexp_extract(low, part, 2)))
+
+
+def identity_code(code: Column, *texts: Column) -> Column:
+    """Identity of an item by its code, else by the first text with one. A code of two digits or fewer may be a prefix alone:
+    the first longer one of the texts that begins with it then takes its place."""
+    own = norm_code(F.coalesce(code, F.lit("")))
+    others = [code_in(t) for t in texts]
+    longer = [F.when(o.startswith(own) & (F.length(o) > F.length(own)), o) for o in others]
+    first = F.coalesce(*[F.nullif(o, F.lit("")) for o in others], F.lit(""))
+    return F.when(own == "", first).when(own.rlike(r"^[a-z]+\d{1,2}$"), F.coalesce(*longer, own)).otherwise(own)
+
+
 def norm_title(title: Column) -> Column:
     """Identity of a title: lower case, a leading code dropped, ASCII letters, digits, ideographs and kana kept."""
-    bare = F.regexp_replace(F.lower(title), r"^\s*[a-z]{2,10}\s*[-_]?\s*\d{2,6}", "")
+    bare = F.regexp_replace(F.lower(F.trim(title)), r"^\s*[\[(【]?\s*[a-z]{1,8}\s*[-_]?\s*\d{2,6}\s*[\])】]?\s*[-:：\s]*", "")
     return F.regexp_replace(bare, "[^0-9a-z一-鿿぀-ヿ]", "")
 
 
-def title_key(title: Column, year: Column) -> Column:
-    return F.concat(norm_title(title), F.lit("::"), F.when(year.between(1000, 9999), year.cast("string")).otherwise(""))
+def title_key(title: Column, year: Column, clean_title: Column | None = None) -> Column:
+    """title::year of the clean title, else of the title; '' without either. A year that hasn't four digits is left out."""
+    name = norm_title(F.coalesce(title, F.lit("")))
+    if clean_title is not None:
+        name = F.coalesce(F.nullif(norm_title(clean_title), F.lit("")), name)
+    return F.when(name != "", F.concat(name, F.lit("::"), F.when(year.between(1000, 9999), year.cast("string")).otherwise(""))).otherwise("")
 
 
 def human_size(n: Column) -> Column:
@@ -114,6 +168,18 @@ def human_size(n: Column) -> Column:
     return F.when(n <= 0, "—").when(n >= gb, F.format_string("%.2f GB", n / gb)).when(n >= mb, F.format_string("%.1f MB", n / mb)).otherwise(F.format_string("%.0f KB", n / 1024.0))
 
 
+def human_volume(n: Column) -> Column:
+    """TB with two places from one TB on, else GB with one."""
+    tb = float(1 << 40)
+    return F.when(n >= tb, F.format_string("%.2f TB", n / tb)).otherwise(F.format_string("%.1f GB", F.coalesce(n, F.lit(0)) / float(1 << 30)))
+
+
+def human_duration(seconds: Column) -> Column:
+    """Hours and minutes, minutes alone under an hour, a dash without a length."""
+    minutes = F.floor(seconds / 60).cast("long")
+    return F.when(F.coalesce(seconds, F.lit(0)) <= 0, "—").when(minutes >= 60, F.format_string("%d小时%d分", F.floor(minutes / 60), minutes % 60)).otherwise(F.format_string("%d分", minutes))
+
+
 def percent(part: Column, total: Column) -> Column:
     """Two places; 0 without a total."""
     return F.when(total > 0, F.round(part * 100.0 / total, 2)).otherwise(0.0)
@@ -123,25 +189,60 @@ def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
-def status_flag(text: Column, uncensored: tuple[str, ...] = ("UNCENSORED",), censored: tuple[str, ...] = ("CENSORED",)) -> Column:
+def status_flag(text: Column, uncensored: tuple[str, ...] = UNCENSORED, censored: tuple[str, ...] = CENSORED) -> Column:
+    """uncensored if the text holds such a word, else censored, else unknown."""
     blob = F.upper(text)
-    return F.when(blob.rlike("|".join(uncensored)), "uncensored").when(blob.rlike("|".join(censored)), "censored").otherwise("unknown")
+    any_of = lambda words: reduce(Column.__or__, [blob.contains(w.upper()) for w in words])
+    return F.when(any_of(uncensored), "uncensored").when(any_of(censored), "censored").otherwise("unknown")
 
 
 def classify_tag(tag: Column, prefix: Column, people: Column) -> Column:
-    """(kind, value) of a raw tag: named fields, status, technical, meta (the code's prefix or a person), else content."""
-    named = F.regexp_extract(tag, r"^\s*(series|studio|publisher|label|director|num)\s*[:：]\s*(.+)$", 1)
-    value = F.trim(F.regexp_extract(tag, r"^\s*\w+\s*[:：]\s*(.+)$", 1))
+    """(kind, value) of a tag, null if it says nothing: a field named before a colon, censor, tech, meta (the code's prefix or a person), else content.
+
+    The tag is to be clean already (clean_text); names are compared by variant_key without Unicode forms.
+    """
+    tag = F.trim(tag)
+    kinds, values = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for field, names in reversed(TAG_FIELDS):
+        head = rf"(?i)^\s*(?:{names})\s*[:：]\s*"
+        kinds = F.when(tag.rlike(head), F.lit(field)).otherwise(kinds)
+        values = F.when(tag.rlike(head), F.trim(F.regexp_replace(tag, head, ""))).otherwise(values)
     key = variant_key(tag, unicode=False)
-    mine = F.exists(people, lambda p: variant_key(p, unicode=False) == key) | (key == F.lower(prefix))
-    kind = F.when(named != "", named).when(F.upper(tag).rlike("^(UN)?CENSORED$"), "status").when(F.upper(tag).rlike(r"^(\d{3,4}P|[248]K|UHD|FHD|H\.?26[45]|HEVC|AVC|AV1|X26[45])$"), "tech").when(mine, "meta").otherwise("content")
-    return F.when(F.trim(tag) != "", F.struct(kind.alias("kind"), F.when(named != "", value).otherwise(F.trim(tag)).alias("value")))
+    mine = F.exists(people, lambda p: (p != "") & (variant_key(p, unicode=False) == key)) | ((prefix != "") & (key == variant_key(prefix, unicode=False)))
+    kind = F.when(kinds.isNotNull(), kinds).when(tag.rlike(STATUS_TAG), "censor").when(tag.rlike(TECH_TAG), "tech").when(key == "", F.lit(None)).when(mine, "meta").otherwise("content")
+    value = F.coalesce(values, tag)
+    return F.when(kind.isNotNull() & (value != ""), F.struct(kind.alias("kind"), value.alias("value")))
 
 
 def strip_people(title: Column, people: Column) -> Column:
-    """title without the people's names in quotes or brackets."""
-    pattern = lambda p: F.concat(F.lit(r"[\"'“「『\[(（]?\Q"), p, F.lit(r"\E[\"'”」』\])）]?"))
-    return F.trim(F.aggregate(people, title, lambda acc, p: F.when(p == "", acc).otherwise(F.regexp_replace(acc, pattern(p), ""))))
+    """title without the people's names in corner or square brackets, and without any such bracket that is left."""
+    cut = lambda acc, p: F.when(p == "", acc).otherwise(F.replace(F.replace(acc, F.concat(F.lit("「"), p, F.lit("」")), F.lit(" ")), F.concat(F.lit("["), p, F.lit("]")), F.lit(" ")))
+    bare = F.regexp_replace(F.aggregate(people, title, cut), r"[「」\[\]]", " ")
+    return F.regexp_replace(F.regexp_replace(bare, r"(?U)\s{2,}", " "), r"^[ \-–—·、,，]+|[ \-–—·、,，]+$", "")
+
+
+def distinct_folded(values: Column) -> Column:
+    """An array's values in their order, each spelling of a lower-case form once: the first."""
+    new = lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x)))
+    return F.aggregate(values, F.array().cast("array<string>"), new)
+
+
+def is_placeholder(name: Column, stop_keys: list[str] = (), unicode: bool = True) -> Column:
+    """Whether a person's name names nobody: empty, of a key that is empty or among stop_keys, or with a placeholder word."""
+    key = variant_key(name, unicode)
+    out = F.coalesce(key, F.lit("")) == ""
+    if stop_keys:
+        out = out | key.isin(list(stop_keys))
+    return reduce(Column.__or__, [name.contains(w) for w in PLACEHOLDERS], out)
+
+
+def segments(text: Column, cut: str = "") -> Column:
+    """Pieces of two signs or more between punctuation and, if given, the signs in cut."""
+    pieces = F.split(F.coalesce(text, F.lit("")), PUNCTUATION)
+    if cut:
+        signs = "".join("\\" + c if c in "\\[]^-" else c for c in cut)
+        pieces = F.flatten(F.transform(pieces, lambda p: F.split(p, f"[{signs}]")))
+    return F.filter(F.transform(pieces, lambda p: F.trim(p)), lambda p: F.length(p) >= 2)
 
 
 def cosine(a: Column, b: Column) -> Column:

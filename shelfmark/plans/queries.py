@@ -30,7 +30,7 @@ PEOPLE = "item_people AS (SELECT l_orderkey AS item_id, s_name AS person, l_line
 VOTES = "votes AS (SELECT user_id AS item_id, arg_max(CASE WHEN event_type = 'purchase' THEN 1 ELSE -1 END, (ts, event_id)) AS vote, max(ts) AS voted_at FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1)"
 PLAYS = "plays AS (SELECT user_id AS item_id, count(*) AS play_count, max(ts) AS played_at FROM events WHERE event_type = 'view' GROUP BY 1)"
 TOKENS = "tokens AS (SELECT DISTINCT item_id, 'tag' AS kind, tag AS value FROM item_tags UNION SELECT item_id, 'person', person FROM item_people UNION SELECT item_id, 'studio', studio FROM items)"
-KEY = r"lower(regexp_replace({0}, '[\s\-_/\\,.:;!?()\[\]<>&+*#@|~''\"]', '', 'g'))"
+KEY = r"""lower(regexp_replace({0}, '[\s,.!?:;''"()\[\]/\\|~\-_+=*&^%$#@]', '', 'g'))"""
 TODAY = "2001-09-01"
 
 
@@ -244,26 +244,29 @@ def library_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 TITLE = r"""keyed AS (SELECT source || '/' || CAST(doc_id AS VARCHAR) AS path, source AS folder, n_chars AS size,
-    regexp_replace(regexp_replace(lower(coalesce(text, '')), '^[ \t\n\x0b\f\r]*[a-z]{2,10}[ \t\n\x0b\f\r]*[-_]?[ \t\n\x0b\f\r]*[0-9]{2,6}', ''), '[^0-9a-z一-鿿぀-ヿ]', '', 'g') || '::' AS key FROM documents),
+    regexp_replace(regexp_replace(lower(trim(coalesce(text, ''), ' ')), '^[ \t\n\x0b\f\r]*[\[(【]?[ \t\n\x0b\f\r]*[a-z]{1,8}[ \t\n\x0b\f\r]*[-_]?[ \t\n\x0b\f\r]*[0-9]{2,6}[ \t\n\x0b\f\r]*[\])】]?[ \t\n\x0b\f\r]*[-:： \t\n\x0b\f\r]*', ''), '[^0-9a-z一-鿿぀-ヿ]', '', 'g') || '::' AS key, trim(coalesce(text, ''), ' ') AS title FROM documents),
     ident AS (SELECT * FROM keyed WHERE key <> '::'), folders AS (SELECT key, folder, count(*) AS n, sum(size) AS bytes, min(CASE WHEN size > 0 THEN size END) AS low, max(CASE WHEN size > 0 THEN size END) AS high FROM ident GROUP BY 1, 2),
     found AS (SELECT 'title' AS kind, key, CAST(sum(n) AS BIGINT) AS members, count(*) AS copies, CAST(greatest(sum(bytes) - max(bytes), 0) AS BIGINT) AS redundant,
     CASE WHEN min(low) = max(high) THEN 'very high' ELSE 'low' END AS confidence, count(*) = 1 AS multipart FROM folders GROUP BY key HAVING sum(n) > 1)"""
 
 
+DUP = ("kind", "key", "members", "copies", "redundant", "confidence", "multipart")
+
+
 @query("SELECT * FROM found", TITLE)
 def dup_groups(spark, d):
-    return dedupe.groups(dedupe.identified(library_documents(spark, d)))
+    return dedupe.groups(dedupe.identified(library_documents(spark, d), use_code=False)).select(*DUP)
 
 
 @query("SELECT path, folder, size, key FROM ident WHERE key IN (SELECT key FROM found)", TITLE)
 def dup_members(spark, d):
-    keyed = dedupe.identified(library_documents(spark, d))
+    keyed = dedupe.identified(library_documents(spark, d), use_code=False)
     return dedupe.members(keyed, dedupe.groups(keyed)).select("path", "folder", "size", "key")
 
 
 @query("SELECT count(*) FILTER (NOT multipart) AS groups, count(*) FILTER (multipart) AS multipart, CAST(coalesce(sum(members) FILTER (NOT multipart), 0) AS BIGINT) AS members, CAST(coalesce(sum(redundant) FILTER (NOT multipart), 0) AS BIGINT) AS redundant FROM found", TITLE)
 def dup_summary(spark, d):
-    return dedupe.summary(dedupe.groups(dedupe.identified(library_documents(spark, d))))
+    return dedupe.summary(dedupe.groups(dedupe.identified(library_documents(spark, d), use_code=False)))
 
 
 @query(

@@ -74,7 +74,7 @@ def test_scalars(spark):
     assert one(spark, s.human_size(F.col("n")), n=1 << 20) == "1.0 MB"
     assert one(spark, s.status_flag(t), t="x uncensored") == "uncensored"
     assert one(spark, s.classify_tag(t, F.lit("AB"), F.array(F.lit("Jo Doe"))), t="jo-doe")["kind"] == "meta"
-    assert one(spark, s.classify_tag(t, F.lit("AB"), F.array(F.lit("Jo"))), t="series: The X") == ("series", "The X")
+    assert one(spark, s.classify_tag(t, F.lit("AB"), F.array(F.lit("Jo"))), t="系列: The X") == ("series", "The X")
 
 
 def test_frequency_merges_spellings(spark):
@@ -164,7 +164,7 @@ def test_sidecars(spark, tmp_path):
     a = got["a"]
     assert set(got) == set("abcd") and a["parse_status"] == "ok"
     assert (a["title"], a["code"], a["year"], a["premiered"], a["runtime_min"], a["userrating"], a["rating_max"], a["watched"]) == ("AB-123 A & B", "AB-123", 2020, "2020-01-02", 95, 7.5, 8.2, 1)
-    assert a["people"] == ["Ann", "Zed"] and a["tags"] == ["x", "4K"] and a["resolution"] == "4K"
+    assert a["people"] == ["Ann", "Zed"] and a["tags"] == ["x"] and a["tech_tags"] == ["4K"] and a["resolution"] == "4K"
     assert got["b"]["code"] == "CD-45" and got["d"]["parse_status"] == "parse_error"
     assert got["c"]["parse_status"] == "recovered" and got["c"]["encoding"] == "gb18030" and got["c"]["tags"] == ["t"]
 
