@@ -8,20 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfmark.functions.scalar import clamp, percent, variant_key
+from shelfmark.functions.scalar import clamp, is_placeholder, percent, variant_key
 
 
 def ascii_key(v: Column) -> Column:
     return variant_key(v, unicode=False)
 
 
-def frequency(df: DataFrame, column: str, top_n: int = 0, min_count: int = 1, key: Callable[[Column], Column] = ascii_key, canonical: Callable[[Column], Column] | None = None) -> DataFrame:
+def frequency(df: DataFrame, column: str, top_n: int = 0, min_count: int = 1, key: Callable[[Column], Column] = ascii_key, canonical: Callable[[Column], Column] | None = None, weight: str | None = None) -> DataFrame:
     """(key, name, count, aliases): spellings of one key are counted together; the commonest, then shortest, names it.
 
     Counts are added up per spelling before anything is normalised, so key and canonical see each spelling
     once. '' and null are left out; up to two more spellings are aliases; count falling, then name.
+    weight names a column that says how often a row counts.
     """
-    per = df.filter(F.col(column).isNotNull() & (F.trim(column) != "")).groupBy(F.trim(column).alias("raw")).agg(F.count("*").alias("c"))
+    many = F.sum(weight) if weight else F.count("*")
+    per = df.filter(F.col(column).isNotNull() & (F.trim(column) != "")).groupBy(F.trim(column).alias("raw")).agg(many.alias("c"))
     name = canonical(F.col("raw")) if canonical else F.col("raw")
     forms = per.withColumn("name", name).filter("name is not null and name <> ''").withColumn("key", key(F.col("name"))).withColumn("key", F.when(F.col("key") == "", F.col("name")).otherwise(F.col("key")))
     forms = forms.groupBy("key", "name").agg(F.sum("c").alias("c"))
@@ -58,6 +60,42 @@ def top_per(df: DataFrame, group: str, value: str, n: int) -> DataFrame:
     return per.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(F.desc("count"), value))).filter(F.col("rank") <= n)
 
 
+def person_ranking(people: DataFrame, items: DataFrame, top_n: int = 30, min_count: int = 1, stop_keys: list[str] = (), aliases: dict[str, str] | None = None, key: Callable[[Column], Column] = ascii_key) -> DataFrame:
+    """(key, person, count, rated, avg_rating, runtime): people by key, spellings and aliases (key to name) together, without placeholders.
+
+    The commonest spelling, then the shortest, names a person; averages are over rated credits alone.
+    """
+    rated = F.col("userrating") > 0
+    credits = people.select("item_id", F.trim("person").alias("raw")).filter("raw <> ''").join(items.select("item_id", "userrating", "runtime_min"), "item_id")
+    per = credits.groupBy("raw").agg(F.count("*").alias("c"), F.count(F.when(rated, 1)).alias("rated"), F.sum(F.when(rated, F.col("userrating").cast("decimal(30,12)"))).alias("total"), F.sum("runtime_min").alias("runtime"))
+    per = per.withColumn("own", key(F.col("raw"))).filter(~is_placeholder(F.col("raw"), stop_keys, unicode=False))
+    names = F.create_map(*[F.lit(x) for kv in (aliases or {"": ""}).items() for x in kv])
+    per = per.withColumn("name", F.coalesce(F.get(F.array(names[F.col("own")]), F.lit(0)), F.col("raw"))).withColumn("key", key(F.col("name")))
+    forms = per.groupBy("key", "name").agg(*[F.sum(c).alias(c) for c in ("c", "rated", "total", "runtime")])
+    out = forms.groupBy("key").agg(F.min(F.struct((-F.col("c")).alias("o"), F.length("name"), F.col("name"))).alias("best"), *[F.sum(c).alias(c) for c in ("c", "rated", "total", "runtime")])
+    avg = F.round(F.try_divide(F.col("total").cast("double"), F.col("rated")), 4)
+    out = out.select("key", F.col("best.name").alias("person"), F.col("c").cast("long").alias("count"), F.col("rated").cast("long").alias("rated"), avg.alias("avg_rating"), F.col("runtime").cast("long").alias("runtime")).filter(F.col("count") >= min_count)
+    return out.orderBy(F.desc("count"), "person").limit(top_n) if top_n else out
+
+
+def enrichment(people: DataFrame, items: DataFrame, tags: DataFrame, who: DataFrame, studios: int = 3, top_tags: int = 6, partners: int = 3) -> DataFrame:
+    """(person, part, value, count, rank) of the persons in who: their commonest studios, tags and partners. who is a ranking, so it is small."""
+    credits = people.select("item_id", "person").distinct()
+    own = credits.join(who.select("person"), "person", "left_semi")
+    found = {
+        "studio": (own.join(items.select("item_id", F.col("studio").alias("value")), "item_id"), studios),
+        "tag": (own.join(tags.select("item_id", F.col("tag").alias("value")).distinct(), "item_id"), top_tags),
+        "partner": (own.join(credits.withColumnRenamed("person", "value"), "item_id").filter("person <> value"), partners),
+    }
+    parts = [top_per(df.filter("value <> ''"), "person", "value", n).select("person", F.lit(part).alias("part"), "value", "count", "rank") for part, (df, n) in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def vote_summary(votes: DataFrame) -> DataFrame:
+    """(total, up, down): one row."""
+    return votes.agg(F.count("*").alias("total"), F.count(F.when(F.col("vote") > 0, 1)).alias("up"), F.count(F.when(F.col("vote") < 0, 1)).alias("down"))
+
+
 def filled(counts: DataFrame, names: list[str]) -> DataFrame:
     """(name, count) in the order of names (ord), 0 where there is none."""
     spark = counts.sparkSession
@@ -124,8 +162,9 @@ def overview(items: DataFrame, tags: DataFrame, people: DataFrame) -> DataFrame:
         F.count_distinct("studio").alias("studios"),
         F.count_distinct("source").alias("sources"),
     ).withColumn("rated_percent", percent(F.col("rated"), F.col("items")))
-    t = tags.agg(F.count_distinct(ascii_key(F.col("tag"))).alias("tags"), F.count("*").alias("tag_rows"))
-    p = people.agg(F.count_distinct(ascii_key(F.col("person"))).alias("people"))
+    # Each spelling is counted first, so that its key is made once.
+    t = tags.groupBy("tag").agg(F.count("*").alias("n")).agg(F.count_distinct(ascii_key(F.col("tag"))).alias("tags"), F.coalesce(F.sum("n"), F.lit(0)).alias("tag_rows"))
+    p = people.select("person").distinct().agg(F.count_distinct(ascii_key(F.col("person"))).alias("people"))
     return one.join(t).join(p)  # one row each
 
 
@@ -138,7 +177,7 @@ def portrait(items: DataFrame, tags: DataFrame, people: DataFrame, high: tuple[s
     last = items.agg(F.max("year").alias("last"))
     recent = items.join(last).agg(F.count(F.when(F.col("year") >= F.col("last") - 1, 1)).alias("recent"))
     top = lambda df, c, n, name: df.groupBy(c).agg(F.count("*").alias("c")).orderBy(F.desc("c"), c).limit(n).agg(F.coalesce(F.sum("c"), F.lit(0)).alias(name))
-    row = base.join(recent).join(top(people, "person", 10, "p10")).join(top(items, "studio", 3, "s3")).join(top(items, "source", 6, "r6")).join(tags.agg(F.count_distinct(ascii_key(F.col("tag"))).alias("breadth")))
+    row = base.join(recent).join(top(people, "person", 10, "p10")).join(top(items, "studio", 3, "s3")).join(top(items, "source", 6, "r6")).join(tags.select("tag").distinct().agg(F.count_distinct(ascii_key(F.col("tag"))).alias("breadth")))
     values = {
         "tag breadth": F.col("breadth") / 300 * 100,
         "people focus": percent(F.col("p10"), total),

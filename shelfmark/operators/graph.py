@@ -16,9 +16,10 @@ def cooccurrence(tags: DataFrame, top_tags: int = 40, top_pairs: int = 200) -> D
 
     Pairs are made inside items after the tags are cut to top_tags, so an item gives top_tags^2 / 2 at most.
     """
-    keyed = tags.select("item_id", ascii_key(F.col("tag")).alias("key")).filter("key <> ''")
-    top = keyed.groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(top_tags).select("key")
-    some = keyed.join(F.broadcast(top), "key", "left_semi").distinct()  # top_tags rows
+    # A key is made for each spelling, not for each row; spellings of the top keys are joined to the rows.
+    forms = tags.groupBy("tag").agg(F.count("*").alias("n")).withColumn("key", ascii_key(F.col("tag"))).filter("key <> ''")
+    top = forms.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(top_tags).select("key")
+    some = tags.join(forms.join(top, "key").select("tag", "key"), "tag").select("item_id", "key").distinct()
     a, b = some.select("item_id", F.col("key").alias("src")), some.select("item_id", F.col("key").alias("dst"))
     edges = a.join(b, "item_id").filter("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
     return edges.orderBy(F.desc("weight"), "src", "dst").limit(top_pairs)
@@ -40,12 +41,13 @@ def pairs_of_people(people: DataFrame, top_n: int = 30) -> DataFrame:
 
 def similar_items(tags: DataFrame, people: DataFrame, item_id: int, limit: int = 10, pool: int = 200) -> DataFrame:
     """(item_id, shared, score): Jaccard of tags and people with one item, exact on the pool that shares most."""
-    tokens = tags.select("item_id", F.concat(F.lit("tag:"), "tag").alias("token")).unionByName(people.select("item_id", F.concat(F.lit("person:"), "person").alias("token"))).distinct()
-    own = tokens.filter(F.col("item_id") == item_id).select("token")
+    # Distinct only where an item shares a token or is of the pool: the one item's tokens, bounded by it, go to the rows.
+    tokens = tags.select("item_id", F.concat(F.lit("tag:"), "tag").alias("token")).unionByName(people.select("item_id", F.concat(F.lit("person:"), "person").alias("token")))
+    own = tokens.filter(F.col("item_id") == item_id).select("token").distinct()
     n_own = own.agg(F.count("*").alias("n_own"))
-    shared = tokens.filter(F.col("item_id") != item_id).join(own, "token").groupBy("item_id").agg(F.count("*").alias("shared"))
+    shared = tokens.filter(F.col("item_id") != item_id).join(own, "token").distinct().groupBy("item_id").agg(F.count("*").alias("shared"))
     best = shared.orderBy(F.desc("shared"), "item_id").limit(pool)
-    sizes = tokens.join(best.select("item_id"), "item_id", "left_semi").groupBy("item_id").agg(F.count("*").alias("n"))
+    sizes = tokens.join(F.broadcast(best.select("item_id")), "item_id", "left_semi").distinct().groupBy("item_id").agg(F.count("*").alias("n"))  # pool rows
     scored = best.join(sizes, "item_id").join(n_own).select("item_id", "shared", F.round(F.col("shared") / (F.col("n") + F.col("n_own") - F.col("shared")), 3).alias("score"))
     return scored.orderBy(F.desc("score"), "item_id").limit(limit)
 

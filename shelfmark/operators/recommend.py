@@ -5,10 +5,12 @@ from __future__ import annotations
 import datetime
 import math
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.cluster import written
 from shelfmark.operators.search import recent_ids
 
 #: Fixed values of the scoring rules: weights by token kind, horizon of recency in days, plays that are free of penalty.
@@ -16,10 +18,11 @@ WEIGHTS = {"tag": 2.0, "person": 2.0, "director": 2.0, "studio": 1.0, "title": 1
 RECENT_DAYS, FREE_PLAYS, FORGET = 180, 3, 12
 
 
-def tokens(items: DataFrame, tags: DataFrame, people: DataFrame) -> DataFrame:
-    """(item_id, kind, value), distinct."""
-    parts = [tags.select("item_id", F.lit("tag").alias("kind"), F.col("tag").alias("value")), people.select("item_id", F.lit("person").alias("kind"), F.col("person").alias("value")), items.select("item_id", F.lit("studio").alias("kind"), F.col("studio").alias("value"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).filter("value <> ''").distinct()
+def tokens(items: DataFrame, tags: DataFrame, people: DataFrame, directors: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """(item_id, kind, value), distinct: tags, people and studios; directors (item_id, director) and title terms (item_id, term) if given."""
+    named = {"tag": (tags, "tag"), "person": (people, "person"), "studio": (items, "studio"), "director": (directors, "director"), "title": (terms, "term")}
+    parts = [df.select("item_id", F.lit(kind).alias("kind"), F.col(column).alias("value")) for kind, (df, column) in named.items() if df is not None]
+    return reduce(DataFrame.unionByName, parts).filter("value <> ''").distinct()
 
 
 def document_frequency(all_tokens: DataFrame) -> DataFrame:
@@ -39,7 +42,9 @@ def profile(all_tokens: DataFrame, votes: DataFrame, total: int, overrides: Data
     voted = all_tokens.join(votes.select("item_id", "vote"), "item_id").withColumn("w", weight)
     sums = voted.groupBy("kind", "value").agg(F.sum(F.when(F.col("vote") > 0, F.col("w")).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("vote") < 0, F.col("w")).otherwise(0.0)).alias("neg"))
     factor = damped(F.col("df"), F.lit(float(total))) * F.when(F.col("kind") == "title", 0.5).otherwise(1.0)
-    auto = sums.join(document_frequency(all_tokens), ["kind", "value"], "left").select("kind", "value", F.round(F.col("pos") * factor, 6).alias("pos"), F.round(F.col("neg") * factor, 6).alias("neg"))
+    # Only tokens of voted items are counted.
+    known = document_frequency(all_tokens.join(sums.select("kind", "value"), ["kind", "value"], "left_semi"))
+    auto = sums.join(known, ["kind", "value"], "left").select("kind", "value", F.round(F.col("pos") * factor, 6).alias("pos"), F.round(F.col("neg") * factor, 6).alias("neg"))
     if overrides is None:
         return auto
     both = auto.join(overrides, ["kind", "value"], "full").withColumn("weight", F.col("weight"))
@@ -48,6 +53,21 @@ def profile(all_tokens: DataFrame, votes: DataFrame, total: int, overrides: Data
     return kept.select("kind", "value", add(F.col("pos"), 1).alias("pos"), add(F.col("neg"), -1).alias("neg"))
 
 
+def vector_snapshot(all_tokens: DataFrame, votes: DataFrame, total: int, overrides: DataFrame) -> DataFrame:
+    """(kind, value, auto_pos, auto_neg, manual, pos, neg): weights from votes, the override if any, and what holds in the end (0 if deleted)."""
+    auto = profile(all_tokens, votes, total).withColumnRenamed("pos", "auto_pos").withColumnRenamed("neg", "auto_neg")
+    effective = profile(all_tokens, votes, total, overrides)
+    out = auto.join(overrides.withColumnRenamed("weight", "manual"), ["kind", "value"], "full").join(effective, ["kind", "value"], "left")
+    return out.select("kind", "value", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("auto_pos", "auto_neg")], "manual", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("pos", "neg")])
+
+
+def override_rows(snapshot: DataFrame, kind: str = "", text: str = "", manual_only: bool = False) -> DataFrame:
+    """Rows of a snapshot of one kind, whose value holds a text, with an override only."""
+    out = snapshot.filter(F.col("kind") == kind) if kind else snapshot
+    out = out.filter(F.lower("value").contains(text.lower())) if text else out
+    return out.filter("manual is not null") if manual_only else out
+
+
 def base_scores(all_tokens: DataFrame, preference: DataFrame) -> DataFrame:
     """(item_id, score): sum of pos - neg over an item's tokens."""
     return all_tokens.join(preference, ["kind", "value"]).groupBy("item_id").agg(F.round(F.sum((F.col("pos") - F.col("neg")).cast("decimal(20,6)")), 4).cast("double").alias("score"))
@@ -84,30 +104,42 @@ def mmr(candidates: list[int], base: dict[int, float], held: dict[int, set], k:
     return chosen[:k]
 
 
-def picks(items: DataFrame, all_tokens: DataFrame, preference: DataFrame, votes: DataFrame, plays: DataFrame, *, today: str, seed: int = 1, limit: int = 18, pool: int = 2000, explore: int = 3, diversity: float = 0.5, seen: DataFrame | None = None, batch: int = 0, favoured: DataFrame | None = None) -> DataFrame:
+def picks(items: DataFrame, all_tokens: DataFrame, preference: DataFrame, votes: DataFrame, plays: DataFrame, *, today: str, seed: int = 1, limit: int = 18, pool: int = 2000, explore: int = 3, diversity: float = 0.5, seen: DataFrame | None = None, batch: int = 0, favoured: DataFrame | None = None, boost_recent: bool = True, demote_browsed: bool = True) -> DataFrame:
     """(item_id, score) of the picks: a seeded random pool without voted items, scored on the cluster; pool rows at most reach the driver.
 
     The pool has 2 * pool items. Favoured items (item_id), as many at most, join it and score 2 * jitter more.
 
     Tiers by score (30, 45, 25 percent) give their quotas in a jittered order, diversified by greedy choice;
-    what is missing is filled from the whole order.
+    what is missing is filled from the whole order. Without votes all items score alike: the order is that of
+    recency, plays and the favoured.
     """
-    unvoted = items.join(votes.select("item_id"), "item_id", "left_anti")
+    spark = items.sparkSession
+    unvoted = items.join(votes.select("item_id"), "item_id", "left_anti").select("item_id", "premiered", "dateadded")
     at = F.xxhash64(F.lit(seed), "item_id")
     fresh = unvoted.orderBy(at).limit(2 * pool).withColumn("favoured", F.lit(False))
     if favoured is not None:
         wanted = unvoted.join(favoured.select("item_id").distinct(), "item_id", "left_semi").orderBy(at).limit(2 * pool).withColumn("favoured", F.lit(True))
         fresh = fresh.join(wanted.select("item_id"), "item_id", "left_anti").unionByName(wanted)
-    scored = fresh.join(base_scores(all_tokens, preference), "item_id", "left").join(plays.select("item_id", "play_count"), "item_id", "left").withColumn("base", F.coalesce("score", F.lit(0.0)))
-    jitter = max(2.0, 0.6 * (scored.agg(F.max(F.abs("base"))).first()[0] or 0.0))
-    scored = scored.withColumn("base", F.col("base") + F.when(F.col("favoured"), 2 * jitter).otherwise(0.0))
-    total = F.col("base") + recency_boost(F.col("premiered"), F.col("dateadded"), today, jitter) + browse_penalty(F.coalesce("play_count", F.lit(0)), F.lit(None), jitter)
+    fresh = written(fresh, "pool")  # 4 * pool rows at most
+    some = written(all_tokens.join(F.broadcast(fresh.select("item_id")), "item_id", "left_semi"), "pool_tokens")
+    scored = fresh.join(base_scores(some, preference), "item_id", "left").join(plays.select("item_id", "play_count"), "item_id", "left").withColumn("base", F.coalesce("score", F.lit(0.0)))
+    # What is added hangs on the jitter in proportion, so it is taken for a jitter of 1 and one job gives all.
+    unit = F.lit(0.0)
+    if boost_recent:
+        unit = unit + recency_boost(F.col("premiered"), F.col("dateadded"), today, 1.0)
+    if demote_browsed:
+        unit = unit + browse_penalty(F.coalesce("play_count", F.lit(0)), F.lit(None), 1.0)
     if seen is not None:
         scored = scored.join(seen.select("item_id", "batch"), "item_id", "left")
-        total = total + F.coalesce(recent_penalty(F.col("batch"), batch, jitter), F.lit(0.0))
-    rows = scored.select("item_id", "base", total.alias("total")).orderBy(F.desc("total"), "item_id").limit(4 * pool).collect()  # the pool and favoured items
+        unit = unit + F.coalesce(recent_penalty(F.col("batch"), batch, 1.0), F.lit(0.0))
+    found = scored.select("item_id", "base", "favoured", unit.alias("unit")).collect()  # the pool and favoured items
+    jitter = max([2.0, *(0.6 * abs(r["base"]) for r in found)])
+    rows = [{"item_id": r["item_id"], "base": r["base"] + 2 * jitter * r["favoured"], "total": r["base"] + jitter * (r["unit"] + 2 * r["favoured"])} for r in found]
+    rows.sort(key=lambda r: (-r["total"], r["item_id"]))
     draw = random.Random(seed)
     noisy = {r["item_id"]: r["total"] + draw.random() * jitter for r in rows}
+    if not any(r["base"] for r in found):  # no votes, or none that says anything of the pool
+        return spark.createDataFrame([(r["item_id"], float(r["total"])) for r in rows[:limit]], "item_id long, score double")
     n = len(rows)
     high, mid = math.ceil(0.3 * n), math.ceil(0.75 * n)
     tiers = [rows[:high], rows[high:mid], [r for r in rows[mid:] if r["base"] >= 0]]
@@ -117,13 +149,25 @@ def picks(items: DataFrame, all_tokens: DataFrame, preference: DataFrame, votes:
     wanted = [i for h in heads for i in h]
     held: dict[int, set] = {i: set() for i in wanted}
     if wanted:
-        for r in all_tokens.filter(F.col("item_id").isin(wanted)).groupBy("item_id").agg(F.collect_set(F.concat_ws(":", "kind", "value")).alias("t")).collect():
+        for r in some.filter(F.col("item_id").isin(wanted)).groupBy("item_id").agg(F.collect_set(F.concat_ws(":", "kind", "value")).alias("t")).collect():
             held[r["item_id"]] = set(r["t"])
     out: list[int] = []
     for head, quota in zip(heads, quotas, strict=True):
         out += mmr(head, noisy, held, quota, diversity) if quota else []
     out += [i for i in sorted(noisy, key=lambda i: (-noisy[i], i)) if i not in out][: max(0, limit - len(out))]
-    return items.sparkSession.createDataFrame([(i, float(noisy[i])) for i in out], "item_id long, score double")
+    return spark.createDataFrame([(i, float(noisy[i])) for i in out], "item_id long, score double")
+
+
+def random_picks(items: DataFrame, all_tokens: DataFrame, preference: DataFrame, votes: DataFrame, plays: DataFrame, *, today: str, limit: int = 10, explore: int = 1, diversity: float = 0.35, **more) -> DataFrame:
+    """(item_id, score): the base flow with its own defaults; more goes to picks."""
+    return picks(items, all_tokens, preference, votes, plays, today=today, limit=limit, explore=explore, diversity=diversity, **more)
+
+
+def remembered(seen: DataFrame, shown: DataFrame, batch: int, most: int = 2000) -> DataFrame:
+    """(item_id, batch): the memory after a batch; batches FORGET ago and older are forgotten, the latest most items stay."""
+    new = shown.select("item_id", F.lit(batch).cast("long").alias("batch"))
+    both = seen.select("item_id", F.col("batch").cast("long").alias("batch")).unionByName(new).groupBy("item_id").agg(F.max("batch").alias("batch"))
+    return both.filter(F.lit(batch) - F.col("batch") < FORGET).orderBy(F.desc("batch"), "item_id").limit(most)
 
 
 def liked_person(items: DataFrame, people: DataFrame, votes: DataFrame, out: DataFrame, seed: int, batch: int, used: DataFrame | None = None) -> DataFrame:

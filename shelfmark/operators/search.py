@@ -21,6 +21,14 @@ def holds(column: str, text: str) -> Column:
     return F.col(column).ilike(f"%{escaped(text)}%")
 
 
+def of_source(items: DataFrame, children: dict[str, DataFrame], source: str | None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """items of one source and the rows of their children (item_id, …); all of them without a source. Every operator takes these frames as it takes the whole ones."""
+    if source is None:
+        return items, children
+    some = items.filter(F.col("source") == source)
+    return some, {name: df.join(some.select("item_id"), "item_id", "left_semi") for name, df in children.items()}
+
+
 def keyword_ids(items: DataFrame, tags: DataFrame, people: DataFrame, text: str) -> DataFrame:
     """(item_id) of items with the text in title, code, a tag or a person."""
     parts = [items.filter(holds("title", text) | holds("code", text)), tags.filter(holds("tag", text)), people.filter(holds("person", text))]
@@ -65,6 +73,17 @@ def expand(terms: list[str], synonyms: dict[str, str]) -> list[str]:
     return list(out)
 
 
+def page(found: DataFrame, offset: int = 0, limit: int = 50, sort: str = "item_id") -> tuple[DataFrame, DataFrame]:
+    """A page of what was found, in order, and (total) of all of it."""
+    return found.orderBy(sort, "item_id").offset(offset).limit(limit), found.agg(F.count("*").alias("total"))
+
+
+def words_in(query: str, vocabulary: DataFrame, column: str = "tag", limit: int = 50) -> DataFrame:
+    """(word) of a vocabulary that stand in a query, ignoring case; the longest first."""
+    words = vocabulary.select(F.col(column).alias("word")).filter("length(word) >= 2").distinct()
+    return words.filter(F.lit(query.lower()).contains(F.lower("word"))).orderBy(F.desc(F.length("word")), "word").limit(limit)
+
+
 def recent_ids(items: DataFrame, cutoff: str, limit: int, exclude: DataFrame | None = None) -> DataFrame:
     """(item_id) of items premiered or added since cutoff, newest first."""
     out = items.filter((F.col("premiered") >= cutoff) | (F.col("dateadded") >= cutoff))

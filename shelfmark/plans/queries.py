@@ -64,7 +64,11 @@ def filled_sql(names: list[str], counts: str) -> str:
 
 @query(frequency_sql("item_tags", "tag", 40), TAGS)
 def top_tags(spark, d):
-    return freq.frequency(m.item_tags(spark, d), "tag", 40)
+    # Lines are counted for each part before its tags are looked at.
+    lines = m.table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"))
+    part = m.table(spark, d, "part").select("p_partkey", F.array("p_brand", "p_type", "p_name").alias("tags"))
+    tags = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.explode("tags").alias("tag"), "n")
+    return freq.frequency(tags, "tag", 40, weight="n")
 
 
 @query(frequency_sql("items", "studio", 20), ITEMS)
@@ -447,3 +451,183 @@ def _share(x: str) -> str:
 )
 def portrait(spark, d):
     return freq.portrait(m.items(spark, d), m.item_tags(spark, d), m.item_people(spark, d), ("1-URGENT", "2-HIGH"))
+
+
+def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def values_sql(rows: list[tuple], names: str) -> str:
+    cell = lambda x: "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
+    return f"v({names}) AS (VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + ")"
+
+
+#: Raw tags with a code's prefix and a person beside them.
+TAGGED = [(i, t, "ABP", "Jo-Doe") for i, t in enumerate(["系列: Long Run", "系 列：x", "片商: Acme", "maker: Acme", "发行:Pub", "publisher: P", "レーベル: L", "label: L", "监督", "監督: Ann", "director: Ann", "番号: AB-12", "code: AB-12", "ID: 7", "id:", "UNCENSORED", "有码", "无码破解", "H.265", "h264", "1080p", "4k", "BluRay", "Blu-ray", "WEB-DL", "5.1", "60FPS", "HDR", "HDRX", "高清", "字幕", "abp", "A B P", "jo doe", "JODOE", "Jo", "drama", "a/b", "...", "series: x", "  spaced  "])]
+PREFIXED = (("series", "系\\s*列"), ("studio", "片商|制作商|制作|メーカー|maker"), ("publisher", "发行|発売|发行商|publisher"), ("label", "厂牌|レーベル|label"), ("director", "导演|監督|director"), ("num", "番号|品番|code|id"))
+_HEADS = "CASE " + " ".join(f"WHEN regexp_matches(tag, '(?i)^\\s*(?:{p})\\s*[:：]') THEN '{k}'" for k, p in PREFIXED) + " END"
+_RESTS = "CASE " + " ".join(f"WHEN regexp_matches(tag, '(?i)^\\s*(?:{p})\\s*[:：]') THEN trim(regexp_replace(tag, '(?i)^\\s*(?:{p})\\s*[:：]\\s*', ''))" for k, p in PREFIXED) + " ELSE tag END"
+_TECH = "^(AVC1|HEVC|H[.]?264|H[.]?265|XVID|DIVX|MPEG-?[24]|VP9|AV1|10BIT|8BIT|HDR|SDR|DV|DOLBY|[0-9]{3,4}[PI]|[0-9]+K|UHD|FHD|HD|SD|BLU-?RAY|WEB-?DL|WEBRIP|HDTV|DVDRIP|BDRIP|REMUX|CAM|TS|ISO|AAC|AC3|DTS|MP3|FLAC|5[.]1|7[.]1|SUB|CHS|CHT|GB|BIG5|内嵌字幕|外挂字幕|无字幕|字幕|高清|超清|标清|高画质|高画質|60FPS|VR|3D)$"
+
+
+@query(
+    f"""WITH {values_sql(TAGGED, "id, raw, prefix, person")}, t AS (SELECT id, trim(raw) AS tag, {KEY.format("trim(raw)")} AS k, {KEY.format("prefix")} AS kp, {KEY.format("person")} AS kn FROM v),
+    c AS (SELECT id, CASE WHEN {_HEADS} IS NOT NULL THEN {_HEADS} WHEN regexp_matches(upper(tag), '^(无码|無碼|无修正|無修正|有码|有碼|UNCENSORED|CENSORED|无码破解)$') THEN 'censor' WHEN regexp_matches(upper(tag), '{_TECH}') THEN 'tech'
+    WHEN k = '' THEN NULL WHEN k IN (kp, kn) THEN 'meta' ELSE 'content' END AS kind, {_RESTS} AS value FROM t) SELECT * FROM c WHERE kind IS NOT NULL AND value <> ''"""
+)
+def classify_tag(spark, d):
+    told = values(spark, TAGGED, "id int, raw string, prefix string, person string").select("id", s.classify_tag(F.col("raw"), F.col("prefix"), F.array("person")).alias("k"))
+    return told.filter("k is not null").select("id", "k.kind", "k.value")
+
+
+CODED = [(i, t) for i, t in enumerate(["ABP123", "abp-123", "ABP_00123", "see ABP123 there", "x A-12 y", "a1", "A-1", "ABCDEFGHI-12", "x-ABCDEFGH12345", "no code", "", "AB-123456", "ab 12", "12-AB-34", "pre AB_77.mp4", "AB-12 CD-34"])]
+
+
+@query(
+    f"""WITH {values_sql(CODED, "id, t")}, c AS (SELECT id, upper(replace(CASE WHEN regexp_matches(trim(t), '^[A-Za-z]{{1,8}}[-_]?[0-9]{{2,5}}$') THEN trim(t) ELSE regexp_extract(t, '\\b([A-Za-z]{{1,8}}[-_]?[0-9]{{2,5}})\\b', 1) END, '_', '-')) AS code FROM v)
+    SELECT id, code, regexp_extract(code, '^([A-Z]+)', 1) AS prefix FROM c"""
+)
+def extract_code(spark, d):
+    out = values(spark, CODED, "id int, t string").select("id", s.code_of(F.col("t")).alias("code"))
+    return out.withColumn("prefix", s.code_prefix(F.col("code")))
+
+
+KEYED = [(i, t) for i, t in enumerate(["A-b_c", "a b\tc", "[A]/(b)", "a=b%c", "x^y$z", "a<b>", "A&B #1 @2", "it's \"so\"", "a|b~c", "a,b.c!d?e:f;g", "", "+*\\", "a、b", "「a」"])]
+
+
+@query(f"WITH {values_sql(KEYED, 'id, t')} SELECT id, " + KEY.format("t").replace("^%$#@]", "^%$#@、]") + " AS key FROM v")
+def variant_key(spark, d):
+    return values(spark, KEYED, "id int, t string").select("id", s.variant_key(F.col("t"), unicode=False).alias("key"))
+
+
+SEEN = [(i, h, t) for i, (h, t) in enumerate([(0, "x 8K y"), (0, "x 8k y"), (0, "4k"), (0, "UHD!"), (0, "2160P"), (0, "1440p"), (0, "FHD"), (0, "HD"), (0, "hd rip"), (0, "SD 480p"), (0, "HDR"), (0, "(720P)"), (0, ""), (480, "4K"), (481, ""), (1080, ""), (1081, ""), (2160, ""), (4000, ""), (0, "x1080p"), (0, "1080p 4K")])]
+_WORDS = (("8K", "8K|4320[Pp]", ""), ("4K", "4K|2160P|UHD", "(?i)"), ("2K", "2K|1440P", "(?i)"), ("1080P", "1080P|FHD", "(?i)"), ("720P", "720P|HD", "(?i)"), ("480P", "480P|SD", "(?i)"))
+
+
+@query(
+    f"WITH {values_sql(SEEN, 'id, height, t')} SELECT id, CASE WHEN height > 0 THEN CASE WHEN height <= 480 THEN '480P' WHEN height <= 720 THEN '720P' WHEN height <= 1080 THEN '1080P' WHEN height <= 1440 THEN '2K' WHEN height <= 2160 THEN '4K' ELSE '8K' END "
+    + " ".join(f"WHEN regexp_matches(t, '{flag}(^|[^0-9A-Za-z_])({w})([^0-9A-Za-z_]|$)') THEN '{name}'" for name, w, flag in _WORDS)
+    + " ELSE '' END AS resolution FROM v"
+)
+def detect_resolution(spark, d):
+    return values(spark, SEEN, "id int, height int, t string").select("id", s.resolution(F.col("height"), F.col("t")).alias("resolution"))
+
+
+#: Items that may be one: path, code, file name, title, year, folder, size.
+TWINS = [
+    ("a/1", "T38", "T38-002.mp4", "first", 2001, "a", 10), ("b/1", "T38", "T38-003.mp4", "second", 2001, "b", 20), ("c/1", "t38-002", "", "third", 2001, "c", 30),
+    ("a/2", "AB-123", "", "x", 2000, "a", 5), ("b/2", "", "AB 123.mkv", "y", 2000, "b", 5), ("a/3", "", "", "CD-45 Same Name", 1999, "a", 7), ("b/3", "", "", "Same Name", 1999, "b", 9),
+    ("a/4", "", "", "Only Title", 0, "a", 1), ("b/4", "", "", "[zz-12] only title", 0, "b", 3), ("c/5", "", "", "many parts", 2010, "c", 2), ("c/6", "", "", "Many Parts!", 2010, "c", 4), ("c/7", "", "", "", 0, "c", 4),
+]
+_STEM = "regexp_replace(lower(file_name), '[.][^.]*$', '')"
+
+
+def _in(text: str) -> str:
+    whole = f"regexp_replace({text}, '[^a-z0-9]', '', 'g')"
+    part = "([a-z]{{2,10}})[ ]*[-_]?[ ]*([0-9]{{2,6}})(?:[^0-9]|$)".replace("{{", "{").replace("}}", "}")
+    return f"CASE WHEN regexp_matches({whole}, '^[a-z]+[0-9]+$') THEN {whole} ELSE regexp_extract({text}, '{part}', 1) || regexp_extract({text}, '{part}', 2) END"
+
+
+TWIN = f"""{values_sql(TWINS, "path, code, file_name, title, year, folder, size")}, n AS (SELECT *, regexp_replace(lower(code), '[^a-z0-9]', '', 'g') AS c, {_in(_STEM)} AS f, {_in("lower(title)")} AS t FROM v),
+    k AS (SELECT *, CASE WHEN regexp_matches(c, '^[a-z]+[0-9]{{1,2}}$') THEN CASE WHEN starts_with(f, c) AND length(f) > length(c) THEN f WHEN starts_with(t, c) AND length(t) > length(c) THEN t ELSE c END
+    WHEN regexp_matches(c, '^[a-z]+[0-9]+$') THEN c WHEN f <> '' THEN f ELSE t END AS code_key,
+    regexp_replace(regexp_replace(lower(title), '^ *[\\[(]? *[a-z]{{1,8}} *[-_]? *[0-9]{{2,6}} *[\\])]? *[-: ]*', ''), '[^0-9a-z]', '', 'g') AS name FROM n),
+    ident AS (SELECT *, CASE WHEN code_key <> '' THEN 'code' ELSE 'title' END AS kind, CASE WHEN code_key <> '' THEN code_key ELSE name || '::' || CASE WHEN year BETWEEN 1000 AND 9999 THEN CAST(year AS VARCHAR) ELSE '' END END AS key FROM k WHERE code_key <> '' OR name <> ''),
+    folders AS (SELECT kind, key, folder, count(*) AS n, sum(size) AS bytes, min(size) AS low, max(size) AS high, count(*) FILTER (year > 0) AS dated FROM ident GROUP BY 1, 2, 3),
+    g AS (SELECT kind, key, CAST(sum(n) AS BIGINT) AS members, count(*) AS copies, CAST(sum(bytes) - max(bytes) AS BIGINT) AS redundant, CASE WHEN min(low) = max(high) THEN 'very high' WHEN kind = 'code' THEN 'high' WHEN sum(dated) = sum(n) THEN 'medium' ELSE 'low' END AS confidence FROM folders GROUP BY 1, 2 HAVING sum(n) > 1)"""
+_TWIN_SCHEMA = "path string, code string, file_name string, title string, year int, folder string, size long"
+
+
+@query("SELECT kind, key, members, copies, redundant, confidence FROM g WHERE copies > 1", TWIN)
+def dup_codes(spark, d):
+    return dedupe.groups(dedupe.identified(values(spark, TWINS, _TWIN_SCHEMA))).filter("not multipart").select("kind", "key", "members", "copies", "redundant", "confidence")
+
+
+@query("SELECT kind, key, members FROM g WHERE copies = 1", TWIN)
+def dup_multipart(spark, d):
+    return dedupe.groups(dedupe.identified(values(spark, TWINS, _TWIN_SCHEMA))).filter("multipart").select("kind", "key", "members")
+
+
+@query(
+    f"""WITH c AS (SELECT {KEY.format("trim(person)")} AS key, trim(person) AS person, userrating AS u, runtime_min AS r FROM item_people JOIN items USING (item_id))
+    SELECT key, min(person) AS person, count(*) AS count, count(*) FILTER (u > 0) AS rated, round(avg(u) FILTER (u > 0), 4) AS avg_rating, CAST(sum(r) AS BIGINT) AS runtime FROM c GROUP BY key ORDER BY count DESC, person LIMIT 30""",
+    ITEMS,
+    PEOPLE,
+)
+def people_by_key(spark, d):
+    return freq.person_ranking(m.item_people(spark, d), m.items(spark, d))
+
+
+@query(
+    """WITH p AS (SELECT DISTINCT item_id, person FROM item_people), who AS (SELECT person, count(*) AS c FROM item_people GROUP BY 1 ORDER BY c DESC, person LIMIT 10), own AS (SELECT p.* FROM p JOIN who USING (person)),
+    n AS (SELECT person, 'studio' AS part, studio AS value, count(*) AS count, 3 AS most FROM own JOIN items USING (item_id) GROUP BY 1, 3 UNION ALL
+    SELECT person, 'tag', tag, count(*), 6 FROM own JOIN (SELECT DISTINCT item_id, tag FROM item_tags) USING (item_id) GROUP BY 1, 3 UNION ALL
+    SELECT own.person, 'partner', p.person, count(*), 3 FROM own JOIN p ON own.item_id = p.item_id AND own.person <> p.person GROUP BY 1, 3),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY person, part ORDER BY count DESC, value) AS INT) AS rank FROM n) SELECT person, part, value, count, rank FROM r WHERE rank <= most""",
+    ITEMS,
+    TAGS,
+    PEOPLE,
+)
+def person_enrichment(spark, d):
+    items, people = m.items(spark, d), m.item_people(spark, d)
+    who = people.groupBy("person").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "person").limit(10)
+    return freq.enrichment(people, items, m.item_tags(spark, d), who)
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (vote > 0) AS up, count(*) FILTER (vote < 0) AS down FROM votes", VOTES)
+def vote_summary(spark, d):
+    return freq.vote_summary(m.votes(spark, d))
+
+
+@query(
+    "SELECT i.name, i.count, t.tags FROM (SELECT year AS name, count(*) AS count FROM items WHERE source = 'NATION_3' GROUP BY 1) i, (SELECT count(DISTINCT tag) AS tags FROM item_tags WHERE item_id IN (SELECT item_id FROM items WHERE source = 'NATION_3')) t",
+    ITEMS,
+    TAGS,
+)
+def years_of_source(spark, d):
+    items, children = search.of_source(m.items(spark, d), {"tags": m.item_tags(spark, d)}, "NATION_3")
+    return freq.by_year(items).join(children["tags"].agg(F.count_distinct("tag").alias("tags")))  # one row beside
+
+
+@query("SELECT kind, value, df, round(least(greatest(ln(n / df) / CASE WHEN n > greatest(50.0::DOUBLE, n * 0.001::DOUBLE) THEN ln(n / greatest(50.0::DOUBLE, n * 0.001::DOUBLE)) ELSE 1 END, 0.05::DOUBLE), 1.0::DOUBLE), 6) AS idf FROM df, n", ITEMS, TAGS, PEOPLE, TOKENS, VOTES, PROFILE)
+def token_idf(spark, d):
+    total = m.table(spark, d, "orders").agg(F.count("*").cast("double").alias("n"))
+    return recommend.document_frequency(tokens(spark, d)).join(total).select("kind", "value", "df", F.round(recommend.damped(F.col("df"), F.col("n")), 6).alias("idf"))
+
+
+OVERRIDES = [("tag", "Brand#11", 3.0), ("tag", "Brand#12", -1.5), ("studio", "BUILDING", 0.0), ("person", "nobody", 2.0)]
+
+
+@query(
+    "SELECT kind, value, coalesce(p.pos, 0.0) AS auto_pos, coalesce(p.neg, 0.0) AS auto_neg, manual, CASE WHEN manual = 0 THEN 0.0 ELSE coalesce(p.pos, 0.0) + greatest(coalesce(manual, 0.0), 0.0) END AS pos, CASE WHEN manual = 0 THEN 0.0 ELSE coalesce(p.neg, 0.0) + greatest(-coalesce(manual, 0.0), 0.0) END AS neg FROM profile p FULL JOIN over USING (kind, value)",
+    ITEMS,
+    TAGS,
+    PEOPLE,
+    TOKENS,
+    VOTES,
+    PROFILE,
+    "over AS (SELECT kind, value, CAST(manual AS DOUBLE) AS manual FROM (VALUES " + ", ".join(f"('{k}', '{v}', {w})" for k, v, w in OVERRIDES) + ") AS o(kind, value, manual))",
+)
+def vector_snapshot(spark, d):
+    over = values(spark, OVERRIDES, "kind string, value string, weight double")
+    return recommend.vector_snapshot(tokens(spark, d), m.votes(spark, d), m.table(spark, d, "orders").count(), over)
+
+
+@query()
+def random_picks(spark, d):
+    return recommend.random_picks(m.items(spark, d), tokens(spark, d), preference(spark, d), m.votes(spark, d), m.plays(spark, d), today=TODAY)
+
+
+@query("SELECT item_id, CAST(count(*) AS BIGINT) AS n_tags FROM (SELECT DISTINCT item_id, tag FROM item_tags) JOIN items USING (item_id) WHERE source = 'NATION_3' GROUP BY 1 ORDER BY item_id LIMIT 50 OFFSET 20", ITEMS, TAGS)
+def second_page(spark, d):
+    items, children = search.of_source(m.items(spark, d), {"tags": m.item_tags(spark, d).distinct()}, "NATION_3")
+    return search.page(children["tags"].groupBy("item_id").agg(F.count("*").alias("n_tags")), 20, 50)[0]
+
+
+@query("SELECT path, source FROM old WHERE source IN ('NATION_3', 'NATION_4') AND path % 5 = 0", ITEMS, "old AS (SELECT item_id AS path, source FROM items)")
+def pruned_paths(spark, d):
+    stored = m.items(spark, d).select(F.col("item_id").alias("path"), "source")
+    there = stored.filter("path % 5 <> 0")
+    found = {"NATION_3": there.filter("source = 'NATION_3'"), "NATION_4": there.filter("source = 'NATION_4'"), "NATION_5": None, "NATION_6": there.limit(0), "NATION_7": there.filter("source = 'NATION_7' and path % 3 = 0")}
+    gone, _ = maintain.pruned_roots(stored, found)
+    return stored.join(gone, "path", "left_semi")

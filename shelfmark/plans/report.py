@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from shelfmark.operators import freq, graph
+from shelfmark.operators.search import of_source
 
 
-def report(items: DataFrame, tags: DataFrame, people: DataFrame, top: int = 20) -> dict[str, list[dict]]:
-    """Rows of each part; all are aggregates of a fixed or limited number of rows."""
+def report(items: DataFrame, tags: DataFrame, people: DataFrame, top: int = 20, source: str | None = None) -> dict[str, list[dict]]:
+    """Rows of each part, of one source or all; all are aggregates of a fixed or limited number of rows."""
+    items, children = of_source(items, {"tags": tags, "people": people}, source)
+    tags, people = children["tags"], children["people"]
     cached = [df.persist() for df in (items, tags, people)]
     items, tags, people = cached
     try:
@@ -29,3 +32,13 @@ def report(items: DataFrame, tags: DataFrame, people: DataFrame, top: int = 20)
     finally:
         for df in cached:
             df.unpersist()
+
+
+def interpret(data: dict[str, list[dict]], tags: int = 12, people: int = 6, studios: int = 6) -> str:
+    """A few sentences on a report, by rule."""
+    one = data["overview"][0]
+    names = lambda part, n: ", ".join(str(r.get("name") or r.get("person")) for r in data[part][:n])
+    strong = sorted(data["portrait"], key=lambda r: (-r["value"], r["dimension"]))[:2]
+    out = [f"{one['items']} items of {one['min_year']} to {one['max_year']}, {one['rated_percent']} % of them rated."]
+    out += [f"{head}: {names(part, n)}." for part, n, head in (("tags", tags, "Tags"), ("people", people, "People"), ("studios", studios, "Studios")) if data[part]]
+    return " ".join([*out, f"Strongest in {' and '.join(r['dimension'] for r in strong)}."])

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from shelfmark.functions import scalar as s
 from shelfmark.operators import dedupe, freq, graph, maintain, recommend, search, text
 from shelfmark.plans import queries as q
-from shelfmark.plans.report import report
-from shelfmark.sources import sidecar, sinks
+from shelfmark.plans.report import interpret, report
+from shelfmark.sources import config, sidecar, sinks
 from shelfmark.streaming import votes as stream
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -350,3 +350,130 @@ def test_smart_picks_cover_recent_items_and_liked_people(spark):
     assert not any(r["part"] == "recent" for r in run(today="2005-01-01"))
     hits = search.keyword_ids(items, tags, people, "rare")
     assert {7, 390} <= {r["item_id"] for r in run(favoured=hits)} and not {7, 390} <= base
+
+
+def test_names_and_titles(spark):
+    t, p = F.col("t"), F.col("p")
+    assert one(spark, s.strip_people(t, p), t="Anna and Ann's day「Ann」[Ann] x] -", p=["Ann"]) == "Anna and Ann's day x"
+    assert one(spark, s.code_of(t), t="see ABP123 there") == "ABP123" and one(spark, s.code_of(t), t="x A-12 y") == "A-12"
+    assert one(spark, s.variant_key(t), t="ａ=b、c%～") == "abc"
+    assert one(spark, s.distinct_folded(p), t="", p=["A b", "a B", "c", "C"]) == ["A b", "c"]
+    assert [one(spark, s.is_placeholder(t, ["nobody"]), t=x) for x in ("", "--", "No-body", "未知演员", "Ann")] == [True, True, True, True, False]
+    assert one(spark, s.segments(t, "的了"), t="一二的三四五, a b! cd") == ["一二", "三四五", "cd"]
+    assert one(spark, s.status_flag(t), t="x 无码 CENSORED") == "uncensored" and one(spark, s.status_flag(t), t="马赛克") == "censored"
+    assert one(spark, s.human_volume(F.col("n").cast("long") * 1024), n=1 << 30) == "1.00 TB" and one(spark, s.human_volume(F.col("n").cast("long")), n=1 << 29) == "0.5 GB"
+    assert [one(spark, s.human_duration(F.col("n")), n=x) for x in (0, 59 * 60, 3661)] == ["—", "59分", "1小时1分"]
+    assert one(spark, s.identity_code(t, F.lit("T38-002"), F.lit("")), t="T38") == "t38002" and one(spark, s.identity_code(t, F.lit("x y 12345678 z")), t="") == ""
+
+
+FULL = """<movie><title>AB-12 Story「Ann」</title><sorttitle>Sorted</sorttitle><id>AB-12</id><set><name>Box</name></set><maker>Mk</maker><release>2019.3.4</release><dateadded>2020-01-02 03:04:05</dateadded><runtime>9999</runtime>
+<original_filename>a.mkv</original_filename><outline>Out & bad line</outline><customrating>R</customrating><genre>系列: S</genre><genre>导演:Dee</genre><genre>AB</genre><genre>ann</genre><genre>Drama</genre><tag>drama</tag><tag>HEVC</tag><tag>有码</tag>
+<actor><name>Bob</name></actor><actor><name>Ann</name><role>x</role></actor><actor><name>Ann</name></actor><crew><name>Cee</name><role>Co-Director</role></crew><crew><name>No</name><role>Grip</role></crew>
+<streamdetails><video><codec>hevc</codec><width>1920</width><height>1080</height><durationinseconds>5400</durationinseconds></video><audio><codec>aac</codec></audio></streamdetails></movie>"""
+
+
+def test_a_full_sidecar(spark, tmp_path):
+    inner = tmp_path / "in ner"
+    inner.mkdir()
+    (inner / "x.nfo").write_text(FULL, encoding="utf-8")
+    (inner / "a.mkv").write_bytes(b"12345")
+    (tmp_path / "y.nfo").write_text("<movie><id>CD-34</id><title>no end", encoding="utf-8")
+    (tmp_path / "z.nfo").write_text("<x><id>EF-56</id><set> <name>Box</name></set><actor><name>Zed</name></actor><title>t</title><height>720</height", encoding="utf-8")
+    files = sidecar.listing(spark, [str(tmp_path), str(inner)])
+    assert sorted((r["path"][-5:], r["source"][-6:]) for r in files.select("path", "source").collect()) == [("x.nfo", "in ner"), ("y.nfo", str(tmp_path)[-6:]), ("z.nfo", str(tmp_path)[-6:])]
+    assert sidecar.listing(spark, [str(tmp_path)], content=False, max_files=2).columns == ["path", "mtime", "size", "source"]
+    videos = sidecar.listing(spark, [str(tmp_path)], "*.mkv", content=False)
+    got = {r["path"][-5]: r for r in sidecar.with_video_size(sidecar.parsed(files), videos).collect()}
+    x = got["x"]
+    assert (x["title"], x["clean_title"], x["original_title"], x["code"], x["code_prefix"], x["series"], x["studio"], x["mpaa"]) == ("AB-12 Story「Ann」", "AB-12 Story", "Sorted", "AB-12", "AB", "Box", "Mk", "R")
+    assert (x["people"], x["directors"], x["tags"], x["tech_tags"], x["meta_tags"]) == (["Bob", "Ann"], ["Dee", "Cee"], ["Drama"], ["HEVC"], ["AB", "ann", "有码"])
+    assert (x["premiered"], x["year"], x["runtime_min"], x["duration_sec"], x["height"], x["width"], x["resolution"], x["codec"], x["audio_codec"], x["status_flag"]) == ("2019-03-04", 2019, 90, 5400, 1080, 1920, "1080P", "hevc", "aac", "censored")
+    assert (x["video_exists"], x["video_size"]) == (1, 5) and got["y"]["video_exists"] == 0
+    assert (got["z"]["parse_status"], got["z"]["code"], got["z"]["series"], got["z"]["people"]) == ("recovered", "EF-56", "Box", ["Zed"])
+    kids = sidecar.children(sidecar.parsed(files))
+    assert kids["people"].count() == 3 and kids["directors"].count() == 2 and kids["tech"].count() == 1 and kids["tags"].count() == 1
+    (tmp_path / "paths.txt").write_text("# roots\n/a\n\n /b \n/a\n")
+    assert sorted(r["value"] for r in sidecar.paths_file(spark, str(tmp_path / "paths.txt")).collect()) == ["/a", "/b"]
+
+
+def test_config_and_placeholders(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"tag_synonyms": {"Sci Fi": "SF", "_note": "x"}, "actor_aliases": {"annie": "Ann"}, "actor_stopwords": ["nobody"]}')
+    (tmp_path / "b.json").write_text('{"tag_synonyms": {"Sci Fi": "Science"}}')
+    (tmp_path / "c.json").write_text("{broken")
+    found = config.read(str(tmp_path / "a.json"), str(tmp_path / "b.json"), str(tmp_path / "c.json"), str(tmp_path / "none.json"))
+    assert found.tags == {"Sci Fi": "Science"} and found.person_stops == ["nobody"]
+    tags = spark.createDataFrame([(1, "sci-fi"), (2, "x")], "item_id long, tag string")
+    assert sorted(r["tag"] for r in freq.canonicaliser(found.names(spark, "tags"))(tags, "tag").collect()) == ["Science", "x"]
+    people = spark.createDataFrame([(1, "Annie"), (2, "Ann"), (2, "no body"), (3, "未知"), (3, "A nn"), (3, "Bo")], "item_id long, person string")
+    items = spark.createDataFrame([(1, 8.0, 10), (2, 0.0, 20), (3, 4.0, 30)], "item_id long, userrating double, runtime_min int")
+    got = freq.person_ranking(people, items, 0, stop_keys=found.person_stops, aliases=found.people).collect()
+    assert sorted(tuple(r)[1:] for r in got) == [("Ann", 3, 2, 6.0, 60), ("Bo", 1, 1, 4.0, 30)]
+    assert sorted(tuple(r) for r in freq.learn_aliases(people.filter("item_id > 1"), "person").filter("variant like 'A%'").collect()) == [("A nn", "Ann"), ("Ann", "Ann")]
+
+
+def test_duplicate_notes_order_and_report(spark, tmp_path):
+    rows = [("a/1", "AB-1", "x", 2000, "a", 10, 60, "4K"), ("b/1", "ab1", "y", 2000, "b", 40, 60, "720P"), ("a/2", "", "Same", 0, "a", 5, 0, ""), ("b/2", "", "same!", 0, "b", 5, 0, ""), ("a/3", "CD2", "p", 0, "a", 1, 0, ""), ("a/4", "cd-2", "p", 0, "a", 2, 0, "")]
+    keyed = dedupe.identified(spark.createDataFrame(rows, "path string, code string, title string, year int, folder string, size long, duration_sec long, resolution string"))
+    found = dedupe.groups(keyed)
+    got = {r["key"]: r for r in found.collect()}
+    assert got["ab1"]["label"] == "AB-1" and got["ab1"]["notes"] == "in 2 folders; same duration; resolutions differ: 4K / 720P; sizes differ: 0 KB to 0 KB"
+    assert got["same::"]["label"] == "Same" and got["same::"]["confidence"] == "very high"
+    assert [r["path"] for r in dedupe.listed(keyed, found).collect()] == ["b/1", "a/1", "a/2", "b/2"]
+    out = sinks.duplicate_report(dedupe.summary(found), found, keyed, str(tmp_path / "dup"))
+    assert (tmp_path / "dup" / "groups.csv").read_text(encoding="utf-8-sig").count("\n") == 3 and out[-1].endswith("members")
+
+
+def test_exports(spark, sf, tmp_path):
+    items, tags, people = q.m.items(spark, sf), q.m.item_tags(spark, sf), q.m.item_people(spark, sf)
+    data = report(items, tags, people, 4, source="NATION_3")
+    assert data["overview"][0]["items"] == items.filter("source = 'NATION_3'").count() and len(data["studios"]) == 4
+    assert "Strongest in" in interpret(data) and data["studios"][0]["name"] in interpret(data)
+    out = sinks.export_all(data, str(tmp_path / "out"))
+    assert len([p for p in out if p.endswith(".csv")]) == len(data) and (tmp_path / "out" / "tags.csv").read_text(encoding="utf-8-sig").startswith("rank,key,")
+    assert sinks.index_text(items.limit(3), tags, people).filter("length(text) > 20").count() == 3
+    cards = sinks.item_cards(items, tags, people, 5).collect()
+    assert len(cards) == 5 and all(len(r["people"]) <= 41 and len(r["tags"]) <= 47 for r in cards) and cards[0]["userrating"] >= cards[4]["userrating"]
+
+
+def test_maintenance(spark):
+    stored = spark.createDataFrame([(f"{r}/{i}", r) for r in "abc" for i in range(4)], "path string, source string")
+    there = stored.filter("path not in ('a/1', 'b/0', 'b/1', 'b/2')")
+    gone, notes = maintain.pruned_roots(stored, {"a": there.filter("source = 'a'"), "b": there.filter("source = 'b'"), "c": stored.limit(0), "d": None})
+    assert [r["path"] for r in gone.collect()] == ["a/1"] and len(notes) == 3 and "3 of 4" in notes[0]
+    assert {r["name"]: r["rows"] for r in maintain.stats({"x": stored, "y": there}).collect()} == {"x": 12, "y": 8}
+    votes = spark.createDataFrame([(1, 1), (2, -1)], "item_id long, vote int")
+    assert maintain.cleared(votes).count() == 0 and [r["vote"] for r in maintain.cleared(votes, -1).collect()] == [1]
+    log = spark.createDataFrame([], "source string, started string, found long, added long, updated long, failed long")
+    assert maintain.run_log(log, "a", "2020-01-01 00:00:00", 3, 2, 1, 0).count() == 1
+    assert maintain.migrated(votes, {"note": "string"}).columns == ["item_id", "vote", "note"]
+    items = spark.createDataFrame([(1, "a"), (2, "b")], "item_id long, source string")
+    assert maintain.remove_source({"votes": votes}, items, "a")["votes"].count() == 1
+    records = spark.createDataFrame([("p", "ok"), ("q", "parse_error"), ("r", "worker_error")], "path string, parse_status string")
+    assert maintain.failed(records).count() == 2
+    assert [r["item_id"] for r in q.m.latest(spark.createDataFrame([(1, 1), (1, 2)], "item_id long, at long"), "item_id", F.desc("at")).select(F.col("at").alias("item_id")).collect()] == [2]
+
+
+def test_flows_of_picks(spark):
+    items = spark.createDataFrame([(i, "2001-08-01" if i % 5 == 0 else "1990-01-01", "") for i in range(60)], "item_id long, premiered string, dateadded string")
+    none = spark.createDataFrame([], "item_id long, kind string, value string")
+    votes, plays = spark.createDataFrame([], "item_id long, vote int"), spark.createDataFrame([(5, 9)], "item_id long, play_count long")
+    run = lambda **x: [r["item_id"] for r in recommend.random_picks(items, none, recommend.profile(none, votes, 60), votes, plays, today="2001-09-01", **x).collect()]
+    assert len(run()) == 10 and run() == [0, *range(10, 60, 5)][:10]
+    assert run(boost_recent=False, demote_browsed=False) == list(range(10))
+    assert run(favoured=spark.createDataFrame([(33,)], "item_id long"))[0] == 33
+    shown = spark.createDataFrame([(1,), (2,)], "item_id long")
+    memory = recommend.remembered(spark.createDataFrame([(1, 0), (7, 3)], "item_id long, batch long"), shown, 13)
+    assert sorted(tuple(r) for r in memory.collect()) == [(1, 13), (2, 13), (7, 3)]
+    people = spark.createDataFrame([(1, "p")], "item_id long, person string")
+    extra = recommend.tokens(items.withColumn("studio", F.lit("s")), people.select("item_id", F.lit("t").alias("tag")), people, people.select("item_id", F.lit("d").alias("director")), people.select("item_id", F.lit("w").alias("term")))
+    assert {r["kind"] for r in extra.collect()} == {"tag", "person", "studio", "director", "title"}
+    snap = recommend.vector_snapshot(extra, spark.createDataFrame([(1, 1)], "item_id long, vote int"), 60, spark.createDataFrame([("tag", "t", 0.0), ("tag", "u", 2.0)], "kind string, value string, weight double"))
+    assert {r["value"]: (r["manual"], r["pos"]) for r in recommend.override_rows(snap, manual_only=True).collect()} == {"t": (0.0, 0.0), "u": (2.0, 2.0)}
+    assert recommend.override_rows(snap, "person", "P").count() == 1
+
+
+def test_words_and_pages(spark):
+    tags = spark.createDataFrame([(1, "Night Sky"), (2, "sky"), (3, "x"), (4, "rain")], "item_id long, tag string")
+    assert [r["word"] for r in search.words_in("a night sky scene", tags).collect()] == ["Night Sky", "sky"]
+    rows, total = search.page(tags, 1, 2)
+    assert [r["item_id"] for r in rows.collect()] == [2, 3] and total.first()["total"] == 4
