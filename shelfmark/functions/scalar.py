@@ -152,7 +152,7 @@ def identity_code(code: Column, *texts: Column) -> Column:
 def norm_title(title: Column) -> Column:
     """Identity of a title: lower case, a leading code dropped, ASCII letters, digits, ideographs and kana kept."""
     bare = F.regexp_replace(F.lower(F.trim(title)), r"^\s*[\[(【]?\s*[a-z]{1,8}\s*[-_]?\s*\d{2,6}\s*[\])】]?\s*[-:：\s]*", "")
-    return F.regexp_replace(bare, "[^0-9a-z一-鿿぀-ヿ]", "")
+    return F.regexp_replace(bare, "[^0-9a-z一-鿿぀-ヿ]+", "")
 
 
 def title_key(title: Column, year: Column, clean_title: Column | None = None) -> Column:
@@ -160,7 +160,9 @@ def title_key(title: Column, year: Column, clean_title: Column | None = None) ->
     name = norm_title(F.coalesce(title, F.lit("")))
     if clean_title is not None:
         name = F.coalesce(F.nullif(norm_title(clean_title), F.lit("")), name)
-    return F.when(name != "", F.concat(name, F.lit("::"), F.when(year.between(1000, 9999), year.cast("string")).otherwise(""))).otherwise("")
+    # A name has no colon, so what begins with one has no name; written so, the name is made once.
+    key = F.concat(name, F.lit("::"), F.when(year.between(1000, 9999), year.cast("string")).otherwise(""))
+    return F.regexp_replace(key, "^::.*$", "")
 
 
 def human_size(n: Column) -> Column:

@@ -39,7 +39,7 @@ def groups(keyed: DataFrame, min_confidence: str = "low") -> DataFrame:
     folder = full.groupBy("kind", "key", "folder").agg(
         F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min(positive("size")).alias("low"), F.max(positive("size")).alias("high"), F.count(positive("year")).alias("dated"),
         F.min(positive("duration_sec")).alias("short"), F.max(positive("duration_sec")).alias("long"), F.collect_set(F.when(F.col("resolution") != "", F.col("resolution"))).alias("shapes"),
-        F.min(F.struct("path", "code", "title")).alias("first"),
+        F.min(F.struct("path", "code", F.substring("title", 1, 36).alias("title"))).alias("first"),
     )
     g = folder.groupBy("kind", "key").agg(
         F.sum("n").alias("members"), F.count("*").alias("copies"), F.sum("bytes").alias("total"), F.max("bytes").alias("most"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("dated").alias("dated"),
@@ -50,7 +50,7 @@ def groups(keyed: DataFrame, min_confidence: str = "low") -> DataFrame:
     rank = F.when(same, 3).otherwise(base)
     out = g.withColumn("rank", rank).filter((F.col("copies") == 1) | (F.col("rank") >= RANKS.index(min_confidence)))
     name = F.element_at(F.array(*[F.lit(x) for x in RANKS]), F.col("rank") + 1)
-    label = F.when((F.col("kind") == "code") & (F.col("first.code") != ""), F.col("first.code")).when(F.col("kind") == "code", F.upper("key")).otherwise(F.substring(F.col("first.title"), 1, 36))
+    label = F.when((F.col("kind") == "code") & (F.col("first.code") != ""), F.col("first.code")).when(F.col("kind") == "code", F.upper("key")).otherwise(F.col("first.title"))
     notes = F.array_compact(
         F.array(
             F.when(F.col("copies") > 1, F.concat(F.lit("in "), F.col("copies").cast("string"), F.lit(" folders"))),

@@ -39,7 +39,8 @@ def damped(df: Column, total: Column) -> Column:
 def profile(all_tokens: DataFrame, votes: DataFrame, total: int, overrides: DataFrame | None = None) -> DataFrame:
     """(kind, value, pos, neg): weights of the tokens of voted items by sign, damped by rarity; overrides (kind, value, weight) are added, 0 deletes."""
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col("kind"))
-    voted = all_tokens.join(votes.select("item_id", "vote"), "item_id").withColumn("w", weight)
+    # Half a join first: it reaches the sources below the distinct, so only voted items' rows are made distinct.
+    voted = all_tokens.join(votes.select("item_id"), "item_id", "left_semi").join(votes.select("item_id", "vote"), "item_id").withColumn("w", weight)
     sums = voted.groupBy("kind", "value").agg(F.sum(F.when(F.col("vote") > 0, F.col("w")).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("vote") < 0, F.col("w")).otherwise(0.0)).alias("neg"))
     factor = damped(F.col("df"), F.lit(float(total))) * F.when(F.col("kind") == "title", 0.5).otherwise(1.0)
     # Only tokens of voted items are counted.
