@@ -12,6 +12,8 @@ __all__ = ["arrow_map", "batch_of", "code_points", "dropped", "ship", "shared_di
 
 #: The white space of the text contracts: space, and tab to carriage return.
 SPACE = " \t\n\x0b\x0c\r"
+#: Bytes of rows at which Spark closes an Arrow batch for Python, where the session does not say.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow with this package at hand on every executor. fn: iterator of record batches to the same."""
+    """mapInArrow with this package at hand on every executor. fn: iterator of record batches to the same.
+
+    Spark's own bound is 10,000 rows a batch, often all texts of a task, which the executor and its Python worker
+    both hold at once. A session that sets no bound in bytes gets BATCH_BYTES; one that does keeps its own.
+    """
     ship(df.sparkSession)
+    if df.sparkSession.conf.get(BATCH_KEY, None) is None:
+        df.sparkSession.conf.set(BATCH_KEY, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 

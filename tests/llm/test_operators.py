@@ -7,10 +7,12 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from shelfmark.llm import byte_bpe, dac, dedup, html_text, leaders, lines, mixing, near, oracle, pii, quality, queries, topk
-from shelfmark.llm.common import table
+from shelfmark.llm.common import BATCH_BYTES, BATCH_KEY, arrow_map, table
 from shelfmark.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, score string, row string"
@@ -646,3 +648,21 @@ def test_exact_copies_of_a_hot_text(spark):
         groups.setdefault(text.replace(" ", ""), []).append((-len(text), i is None, i))
     kept = dedup.drop_exact_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["text"].replace(" ", ""), r["doc_id"] or -1) for r in kept) == sorted((key, min(g, key=lambda x: (x[0], x[1], x[2] or 0))[2] or -1) for key, g in groups.items())
+
+
+def test_batches_for_python_are_bounded_in_bytes(spark):
+    texts = spark.range(0, 600, 1, 1).select(F.repeat(F.lit("x"), 20_000).alias("text"))  # 12 MB in one task
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], names=["n", "size"])
+
+    spark.conf.unset(BATCH_KEY)
+    try:
+        for bound in (BATCH_BYTES, 300_000):  # the second is the session's own and stays
+            got = arrow_map(texts, sizes, "n long, size long").collect()
+            assert sum(r["n"] for r in got) == 600 and max(r["size"] for r in got) <= bound + 50_000
+            spark.conf.set(BATCH_KEY, "300000")
+        assert spark.conf.get(BATCH_KEY) == "300000"
+    finally:
+        spark.conf.unset(BATCH_KEY)
